@@ -1,10 +1,10 @@
-"""p7_ and p8_ queries over ``documents``."""
+"""p7_, p8_ and p9_ queries over ``documents``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinery.llm import packing, tokens
+from skeinery.llm import packing, spans, tokens
 from skeinery.sources.tables import table
 
 CAPACITY = 2048
@@ -20,5 +20,14 @@ def p8_pack(spark: SparkSession, directory: str) -> DataFrame:
     return packed.withColumnRenamed("n", "n_tokens")
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_pack": p8_pack}
+def p9_found(spark: SparkSession, directory: str) -> DataFrame:
+    return spans.shared_spans(table(spark, directory, "documents"))
+
+
+def p9_share(spark: SparkSession, directory: str) -> DataFrame:
+    docs = table(spark, directory, "documents")
+    return spans.shared_share(docs, spans.shared_spans(docs))
+
+
+QUERIES = {"p7_ids": p7_ids, "p8_pack": p8_pack, "p9_found": p9_found, "p9_share": p9_share}
 ORACLE: dict[str, str] = {}
