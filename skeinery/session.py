@@ -84,3 +84,26 @@ def parts_for(df: DataFrame, bytes_each: int, least: int | None = None) -> int:
     spark = df.sparkSession
     least = least if least is not None else spark.sparkContext.defaultParallelism
     return int(min(200_000, max(1, least, -(-estimated_bytes(df) // bytes_each))))
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application."""
+    import os
+    import zipfile
+
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="skeinery-code-"), "skeinery_code.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join("skeinery", os.path.relpath(full, root)))
+    spark.sparkContext.addPyFile(path)
