@@ -75,8 +75,14 @@ def _clean() -> None:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df``; for file scans the size of the files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes of the sources below ``df``: for file scans the size of the files.
+
+    Sources of unknown size (local rows, RDDs) count nothing; estimates of
+    joins, which Catalyst multiplies, are not used.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return sum(s for s in sizes if s < 1 << 60)
 
 
 def parts_for(df: DataFrame, bytes_each: int, least: int | None = None) -> int:
