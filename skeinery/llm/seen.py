@@ -125,7 +125,7 @@ class Generations:
             else:
                 current[k] = int(hashes[i])
         if len(current) >= max(self.least, self.sealed // 8):
-            self.filters.append(PeeledFilter(np.fromiter(current.values(), np.int64, len(current)).view(np.uint64), self.bits))
+            self.filters.append(PeeledFilter(np.fromiter(current.values(), np.uint64, len(current)), self.bits))
             self.sealed += len(current)
             self.current = {}
         return seen
