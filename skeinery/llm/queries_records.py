@@ -1,11 +1,11 @@
-"""p1_ and p6_ queries over ``torrents``."""
+"""p1_, p5_ and p6_ queries over ``torrents``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinery.llm import mojibake, terms
+from skeinery.llm import mojibake, near_dup, terms
 from skeinery.session import materialize
 from skeinery.sources.tables import table
 
@@ -24,6 +24,20 @@ def p1_found(spark: SparkSession, directory: str) -> DataFrame:
     return p1_terms(spark, directory).where(F.col("mark").isNotNull()).select("term", "mark")
 
 
+def _near(spark: SparkSession, directory: str) -> near_dup.Records:
+    paths = F.coalesce(F.col("files.path"), F.array().cast("array<string>"))
+    rows = table(spark, directory, "torrents").select("id", F.concat(F.array("name"), paths).alias("strings"))
+    return near_dup.Records(rows, key="id", strings="strings", share=0.7)
+
+
+def p5_found(spark: SparkSession, directory: str) -> DataFrame:
+    return _near(spark, directory).record_pairs()
+
+
+def p5_groups(spark: SparkSession, directory: str) -> DataFrame:
+    return _near(spark, directory).groups()
+
+
 def p6_repaired(spark: SparkSession, directory: str) -> DataFrame:
     """Garbled names (``ord`` -1) and paths with the text restored where possible."""
     paths = F.coalesce(F.col("files.path"), F.array().cast("array<string>"))
@@ -35,7 +49,7 @@ def p6_found(spark: SparkSession, directory: str) -> DataFrame:
     return p6_repaired(spark, directory).select("id", "ord").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p6_found": p6_found, "p6_repaired": p6_repaired}
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_repaired": p6_repaired}
 
 _TERMS = r"""
 WITH names AS (SELECT id, min(name) AS name FROM torrents GROUP BY id HAVING min(name) IS NOT NULL AND min(name) <> ''),
