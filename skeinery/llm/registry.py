@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["queries_text", "queries_stream", "queries_records"]
+MODULES = ["queries_text", "queries_stream", "queries_records", "queries_vectors"]
 
 
 def queries() -> dict:
