@@ -83,7 +83,14 @@ def scan(queries: np.ndarray, bound: np.ndarray, members: np.ndarray, keep: int,
                 partial += np.einsum("ij,ij->i", part, part)[:, None]
                 allowed = t * np.float32(b / dim * (1 + significance / np.sqrt(b)) ** 2) if b < dim else t * np.float32(1 + 1e-5) + np.float32(1e-6)
                 alive = partial <= allowed[:, None]
-                if b == dim or np.count_nonzero(alive) < 0.1 * alive.size:
+                left = np.count_nonzero(alive)
+                if b == dim and left > 4 * keep * len(x) and n > keep:  # many left: take the best of each row directly
+                    near = np.argpartition(partial, keep - 1, axis=1)[:, :keep]
+                    rows, cols = np.repeat(np.arange(len(x)), keep), near.ravel()
+                    value = partial[rows, cols]
+                    within = value <= allowed[rows]
+                    rows, cols, value = rows[within], cols[within], value[within]
+                elif b == dim or left < 0.1 * alive.size:
                     rows, cols = np.nonzero(alive)
                     value = partial[rows, cols]
             elif len(rows):
