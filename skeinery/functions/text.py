@@ -152,7 +152,7 @@ def fold_table() -> tuple[str, str]:
 def folded(c: Column) -> Column:
     """Lower case without diacritics on Latin letters; dotless i stays."""
     source, target = fold_table()
-    return F.translate(F.lower(c), source, target)
+    return F.translate(F.lower(F.translate(c, "Σİ", "σi")), source, target)
 
 
 def tokens(c: Column) -> Column:
