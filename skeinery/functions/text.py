@@ -129,9 +129,9 @@ def human_size(c: Column) -> Column:
     """1024-based size with one decimal below 10."""
     units = ["B", "KB", "MB", "GB", "TB", "PB"]
     n = c.cast("double")
-    step = F.least(F.lit(len(units) - 1), F.greatest(F.lit(0), F.floor(F.log(F.lit(1024.0), F.greatest(n, F.lit(1.0))) + F.lit(1e-12))))
+    step = F.least(F.lit(len(units) - 1), F.greatest(F.lit(0), F.floor(F.log2(F.greatest(n, F.lit(1.0))) / 10 + F.lit(1e-12))))
     value = n / F.pow(F.lit(1024.0), step)
-    shown = F.when((value < 10) & (step > 0), F.format_string("%.1f", value)).otherwise(F.format_string("%.0f", value))
+    shown = F.when((value < 10) & (step > 0), F.format_string("%.1f", F.floor(value * 10 + 0.5) / 10)).otherwise(F.format_string("%d", F.floor(value + 0.5)))
     return F.concat(shown, F.lit(" "), F.element_at(F.array(*map(F.lit, units)), (step + 1).cast("int")))
 
 

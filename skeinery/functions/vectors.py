@@ -79,3 +79,22 @@ def embedded(text: Column, dim: int = 64) -> Column:
         return pd.Series([embed_text(t, dim).astype(np.float32) for t in texts])
 
     return run(text)
+
+
+def embedded_int8(text: Column, dim: int = 64) -> Column:
+    """struct(scale, q) of the text's vector, quantised in the same Arrow batch."""
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = [int8(embed_text(t, dim)) for t in texts]
+        return pd.DataFrame({"scale": [s for _, s in rows], "q": [q for q, _ in rows]})
+
+    return F.pandas_udf(run, "scale double, q array<tinyint>")(text)
+
+
+def int8(vector: np.ndarray) -> tuple[np.ndarray, float]:
+    """int8 form and scale of one vector, halves away from zero; zeros for a zero or non-finite one."""
+    x = np.asarray(vector, np.float64)
+    top = float(np.abs(x).max(initial=0.0))
+    if not np.isfinite(top) or top == 0:
+        return np.zeros(len(x), np.int8), 0.0
+    return np.clip(np.sign(x) * np.floor(np.abs(x) * 127.0 / top + 0.5), -127, 127).astype(np.int8), top / 127.0

@@ -29,12 +29,8 @@ def usable(rows: DataFrame) -> DataFrame:
 
 def quantized_query(vector: list[float]) -> tuple[list[int], float]:
     """int8 form of a query vector, halves away from zero."""
-    x = np.asarray(vector, np.float64)
-    top = float(np.abs(x).max(initial=0.0))
-    if not np.isfinite(top) or top == 0:
-        return [0] * len(x), 0.0
-    q = np.clip(np.sign(x) * np.floor(np.abs(x) * 127.0 / top + 0.5), -127, 127)
-    return q.astype(int).tolist(), top / 127.0
+    q, scale = V.int8(np.asarray(vector))
+    return q.astype(int).tolist(), scale
 
 
 def nearest(rows: DataFrame, query: list[int], scale: float, *, k: int, least: float = float("-inf")) -> DataFrame:

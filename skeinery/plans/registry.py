@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinery.sources.tables import table
+MODULES = ["queries_catalog", "queries_analytics", "queries_text", "queries_search", "queries_pipeline", "queries_streaming", "queries_sources"]
 
 
 def queries() -> dict:
-    return {}
+    found: dict = {}
+    for m in MODULES:
+        found.update(import_module(f"skeinery.plans.{m}").QUERIES)
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found: dict[str, str] = {}
+    for m in MODULES:
+        found.update(import_module(f"skeinery.plans.{m}").ORACLE)
+    return found
 
 
 def flagship(spark: SparkSession, directory: str) -> DataFrame:
-    return table(spark, directory, "torrents").limit(10)
+    """Hybrid search: keyword and vector candidates, fused and boosted."""
+    return queries()["hybrid_boosted"](spark, directory)
