@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -140,8 +141,9 @@ class Repairer:
         self.piece = lru_cache(maxsize=100_000)(self._piece)
         self.whole = lru_cache(maxsize=20_000)(self._whole)
 
-    def _step(self, text: str) -> tuple[str, str]:
-        best, least, meant = text, self.cost(text), ""
+    def _step(self, text: str) -> tuple[str, str, list[str]]:
+        """The least garbled re-reading of ``text``, how its bytes were read, and all readings as UTF-8."""
+        best, least, meant, utf8 = text, self.cost(text), "", []
         tried = {text}
         for wrong in READ_AS:
             raw = _encoded(text, wrong)
@@ -156,21 +158,32 @@ class Repairer:
                 if other in tried:
                     continue
                 tried.add(other)
+                if right == "utf-8":
+                    utf8.append(other)
                 if (c := self.cost(other)) < least:
                     best, least, meant = other, c, right
-        return best, meant
+        return best, meant, utf8
 
     def _piece(self, text: str) -> str:
-        start, now, margin = self.cost(text), text, self.margin
+        start = self.cost(text)
+        best, least, margin = text, start, self.margin
+        frontier = [(text, self.margin)]
         for _ in range(self.layers):
-            then, meant = self._step(now)
-            if then == now:
+            then: list[tuple[str, float]] = []
+            for now, need in frontier:
+                better, meant, utf8 = self._step(now)
+                if meant:
+                    then.append((better, self.utf8_margin if meant == "utf-8" else need))
+                # a strict reading as UTF-8 is worth a second look though it seems no better by itself
+                then += [(s, self.utf8_margin) for s in utf8 if s != better]
+            for s, need in then:
+                if (c := self.cost(s)) < least:
+                    best, least, margin = s, c, need
+            frontier = [(s, need) for s, need in then if not s.isascii()]
+            if not frontier:
                 break
-            now = then
-            if meant == "utf-8":
-                margin = self.utf8_margin
-        drop = start - self.cost(now)
-        return now if drop >= margin and drop >= 0.15 * start else text
+        drop = start - least
+        return best if drop >= margin and drop >= 0.15 * start else text
 
     def _whole(self, text: str) -> str:
         """One path component: as a whole, or word by word, whichever is less garbled."""
@@ -184,6 +197,17 @@ class Repairer:
         return "/".join(map(self.whole, text.split("/")))
 
 
+_repairers: dict[str, Repairer] = {}
+
+
+def _for_worker(token: str, shared, margin: float) -> Repairer:
+    """The repairer of one call, with its caches, kept between the tasks of a Python worker."""
+    if token not in _repairers:
+        _repairers.clear()
+        _repairers[token] = Repairer(Cost(shared.value), margin)
+    return _repairers[token]
+
+
 def _count_sequences(most: int = 500_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -228,9 +252,10 @@ def garbled_strings(records: DataFrame, *, key: str, strings: str, margin: float
     """
     spark = records.sparkSession
     shared = spark.sparkContext.broadcast(sequence_table(records, strings))
+    token = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fixer = Repairer(Cost(shared.value), margin)
+        fixer = _for_worker(token, shared, margin)
         for batch in batches:
             keep: list[int] = []
             repaired: list[str | None] = []
