@@ -140,15 +140,17 @@ def _anchor_blobs(length: int, buckets: int, chars_each: int = 1_500_000):
     return run
 
 
-def _shared_anchors(table: pa.Table) -> pa.Table:
-    """Reduce side: the anchors of one bucket whose window occurs in two documents or more."""
+def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reduce side: the anchors of one bucket (a partition) whose window occurs in two documents or more."""
     doc, h, pos = [], [], []
-    for batch in table.to_batches():
+    for batch in batches:
         cols = [c.to_pylist() for c in batch.columns[1:]]
         for d, n, hl, hh, pl, ph in zip(*cols):
             doc.append(np.repeat(np.frombuffer(d, np.int64), np.frombuffer(n, np.uint32)))
             h.append(np.frombuffer(hl, np.uint32).astype(np.int64) | np.frombuffer(hh, np.uint16).astype(np.int64) << 32)
             pos.append(np.frombuffer(pl, np.uint16).astype(np.int32) | np.frombuffer(ph, np.uint16).astype(np.int32) << 16)
+    if not doc:
+        return
     doc, h, pos = np.concatenate(doc), np.concatenate(h), np.concatenate(pos)
     order = np.argsort(h, kind="stable")
     h = h[order]
@@ -157,12 +159,12 @@ def _shared_anchors(table: pa.Table) -> pa.Table:
     few = np.repeat(size > 1, size)  # drop windows seen once before gathering the rest
     order, h, size = order[few], h[few], size[size > 1]
     if not len(h):
-        return pa.table({"doc": pa.array([], pa.int64()), "pos": pa.array([], pa.int32()), "cls": pa.array([], pa.int64()), "members": pa.array([], pa.int64())})
+        return
     doc, pos = doc[order], pos[order]
     first = np.r_[0, np.cumsum(size)[:-1]]
     shared = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
     keep = np.repeat(shared, size)
-    return pa.table({"doc": doc[keep], "pos": pos[keep], "cls": h[keep], "members": np.repeat(size, size)[keep].astype(np.int64)})
+    yield from pa.table({"doc": doc[keep], "pos": pos[keep], "cls": h[keep], "members": np.repeat(size, size)[keep].astype(np.int64)}).to_batches()
 
 
 def _contexts(length: int, width: int, buckets: int):
@@ -200,7 +202,11 @@ def _extend(length: int, width: int):
     reach = length - width
     wide = length + reach
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
         doc, pos, cls = (table.column(i).to_numpy() for i in (1, 2, 3))
         lead = table.column(4).to_numpy().astype(np.int64)
         texts = table.column(5).to_pylist()
@@ -229,7 +235,7 @@ def _extend(length: int, width: int):
             low[hit[low[hit] < 0]] = x
             high[hit] = x
         found = low >= 0
-        return pa.table({"doc": doc[found], "a": (pos[found] - high[found]).astype(np.int64), "z": (pos[found] - low[found] + length).astype(np.int64)})
+        yield from pa.table({"doc": doc[found], "a": (pos[found] - high[found]).astype(np.int64), "z": (pos[found] - low[found] + length).astype(np.int64)}).to_batches()
 
     return run
 
@@ -261,7 +267,8 @@ def shared_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
     inside one document is not shared.  Equal texts under different keys are
     shared whole.
 
-    Anchors travel packed, about ten bytes each, and are grouped by window; a
+    Anchors travel packed, about ten bytes each, into buckets whose number follows
+    the size of the input; a
     class of more than ``hot`` anchors is extended by counting its stretches in
     a plain aggregation with map-side combine instead of in one task, with the
     same result.
@@ -274,16 +281,17 @@ def shared_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
     source = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("t")).where(F.col("doc").isNotNull() & (F.char_length("t") >= length))
     buckets = parts_for(docs, bucket_bytes)
     packed = source.mapInArrow(_anchor_blobs(length, buckets), "bucket bigint, doc binary, n binary, h_low binary, h_high binary, p_low binary, p_high binary")
-    anchors = materialize(packed.groupBy("bucket").applyInArrow(_shared_anchors, "doc bigint, pos int, cls bigint, members bigint"), "span-anchors")
+    by_bucket = packed.repartitionById(buckets, F.col("bucket").cast("int"))
+    anchors = materialize(by_bucket.mapInArrow(_shared_anchors, "doc bigint, pos int, cls bigint, members bigint"), "span-anchors")
     total = anchors.count()
 
     def with_text(chosen: DataFrame) -> DataFrame:
-        per_doc = chosen.groupBy("doc").agg(F.collect_list(F.struct("pos", "cls")).alias("anchors"))
-        return source.join(per_doc.hint("shuffle_hash"), "doc").select("doc", "t", "anchors")
+        per_doc = chosen.repartition(buckets, "doc").groupBy("doc").agg(F.collect_list(F.struct("pos", "cls")).alias("anchors"))
+        return source.repartition(buckets, "doc").join(per_doc.hint("shuffle_hash"), "doc").select("doc", "t", "anchors")
 
     groups = max(1, -(-total // bucket_anchors))
     cold = with_text(anchors.where(F.col("members") <= hot)).mapInArrow(_contexts(length, width, groups), "b bigint, d bigint, p int, c bigint, l int, t string")
-    spans = cold.groupBy("b").applyInArrow(_extend(length, width), "doc bigint, a bigint, z bigint")
+    spans = cold.repartitionById(groups, F.col("b").cast("int")).mapInArrow(_extend(length, width), "doc bigint, a bigint, z bigint")
     if anchors.where(F.col("members") > hot).limit(1).count():
         stretches = materialize(with_text(anchors.where(F.col("members") > hot)).mapInArrow(_stretches(length, width), "doc bigint, h bigint, a bigint"), "span-hot")
         twice = stretches.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("h")
