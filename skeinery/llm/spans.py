@@ -258,7 +258,7 @@ def _stretches(length: int, width: int):
     return run
 
 
-def shared_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 200, hot: int = 4096, bucket_bytes: int = 6 << 20, bucket_anchors: int = 8_000) -> DataFrame:
+def shared_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 200, hot: int = 4096, bucket_bytes: int = 6 << 20, bucket_anchors: int = 16_000) -> DataFrame:
     """``key, span_start, span_end``: maximal runs of characters that lie in a
     stretch of at least ``length`` code points found verbatim under another key.
 
