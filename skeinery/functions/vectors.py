@@ -55,6 +55,19 @@ def expected_success(p: Column | float, n: Column) -> Column:
     return 1 - F.pow(1 - p, n)
 
 
+def mean_pooled(states: Column, mask: Column) -> Column:
+    """Mean of the token vectors whose mask is 1, normalised; ``states`` is an array of arrays."""
+    kept = F.filter(F.zip_with(states, mask, lambda s, m: F.when(m == 1, s)), lambda s: s.isNotNull())
+    total = F.aggregate(kept, F.transform(F.get(states, F.lit(0)), lambda x: F.lit(0.0)), lambda a, s: F.zip_with(a, s, lambda x, y: x + y.cast("double")))
+    return l2_normalized(total)
+
+
+def last_pooled(states: Column, mask: Column) -> Column:
+    """The last token vector whose mask is 1, normalised."""
+    kept = F.filter(F.zip_with(states, mask, lambda s, m: F.when(m == 1, s)), lambda s: s.isNotNull())
+    return l2_normalized(F.element_at(kept, -1))
+
+
 _FNV = (0xCBF29CE484222325, 0x100000001B3)
 
 

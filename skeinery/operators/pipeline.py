@@ -105,6 +105,32 @@ def live_arm(states: DataFrame, now: int, limit: int) -> DataFrame:
     return rows.orderBy(F.desc("probe_peers"), F.desc("hint_peers"), F.desc("seen_count"), "id").limit(limit)
 
 
+def garbled_arm(items: DataFrame, limit: int = GARBLED_MOST) -> DataFrame:
+    """Fetched items whose name lost characters, to be fetched again."""
+    return items.where("fetched AND garbled").orderBy(F.desc("seen_count"), "id").limit(limit)
+
+
+def alive_sample(states: DataFrame, limit: int) -> DataFrame:
+    return states.where("probe_peers > 0").orderBy(F.desc("probe_peers"), "id").limit(limit)
+
+
+def ready_stock(states: DataFrame, now: int) -> DataFrame:
+    """What could be fetched at once: never tried, to be tried again, and probes whose result never came."""
+    pending = F.col("metadata_status") == "pending"
+    healthy = pending & (F.col("probe_peers") >= 1)
+    return states.agg(
+        F.count_if(healthy & (F.col("fetch_attempts") == 0)).alias("never_tried"),
+        F.count_if(healthy & (F.col("fetch_attempts") > 0) & eligible(now)).alias("retryable"),
+        F.count_if(pending & (F.col("probe_at") > 0) & (F.col("probe_peers") < 0)).alias("leaked"),
+    )
+
+
+def recategorized(items: DataFrame, limit: int = 50_000) -> DataFrame:
+    """Items of category 'other' with the category their name and files give now, where that differs."""
+    rows = items.where("category = 'other'").orderBy("id").limit(limit)
+    return rows.withColumn("category", T.category(F.col("name"), F.col("files"))).where("category <> 'other'")
+
+
 def first_wins(arms: list[DataFrame], orders: list[list[Column]]) -> DataFrame:
     """Several short ordered lists as one: arm by arm, an id keeps its first place."""
     out = None

@@ -149,3 +149,4 @@ def retrieval_quality(s, d):
 
 
 _add("retrieval_quality", retrieval_quality)
+_add("lexical_evidence", lambda s, d: R.lexical_evidence(C.items(s, d).where("fetched"), "zz harbor"), f"WITH {O.ITEMS} SELECT coalesce(bool_or(contains(lower(name), 'harbor')), false) AS evidence FROM items WHERE fetched")

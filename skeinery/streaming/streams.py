@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeinery.functions import binary as B
 from skeinery.operators import pipeline as P
 from skeinery.session import shared_dir
 
@@ -107,3 +108,14 @@ def synced(changes: DataFrame, label: str = "sync") -> DataFrame:
     run_to_end(changes, label, each=lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/batch={n}"))
     rows = spark.read.parquet(base)
     return rows.groupBy("id").agg(F.max_by(F.struct("name", "total_size", "files", "first_seen", "last_seen", "seen_count", "seq"), "seq").alias("r")).select("id", "r.*")
+
+
+def packet_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Decoded messages from a folder to which packet files (``packet`` binary, ``received`` bigint) are added."""
+    raw = spark.readStream.schema("packet binary, received bigint").parquet(folder)
+    return raw.select("received", B.decoded_message(F.col("packet")).alias("m")).where("m.kind is not null").select("received", "m.*")
+
+
+def sampled_ids(messages: DataFrame) -> DataFrame:
+    """Sightings that responses carry: one row for each sampled id."""
+    return messages.where("kind = 'response'").select(F.explode("samples").alias("infohash"), F.lit("sample").alias("source"), F.col("received").alias("seen_at"))

@@ -5,13 +5,15 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from skeinery import schema
+from skeinery.functions import vectors as V
 from skeinery.operators import analytics as A
 from skeinery.operators import catalog as C
 from skeinery.operators import pipeline as P
 from skeinery.operators import rank as R
 from skeinery.operators import vector_search as VS
 from skeinery.session import parts_for
-from skeinery.sources import feeds
+from skeinery.sources import config, feeds
 from skeinery.streaming import streams as S
 
 NOW = 1_000_000
@@ -133,3 +135,30 @@ def test_stream_correlation(spark, tmp_path):
         df.coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
     joined = S.correlated(S.table_stream(spark, str(tmp_path), "a"), S.table_stream(spark, str(tmp_path), "b"))
     assert [r["txid"] for r in spark.read.parquet(S.run_to_end(joined, "c")).collect()] == ["x"]
+
+
+def test_packet_stream(spark, tmp_path):
+    body = b"d1:rd7:samples40:" + b"\x01" * 20 + b"\x02" * 20 + b"e1:t2:xy1:y1:re"
+    rows = [(bytearray(body), 5), (bytearray(b"junk"), 6), (None, 7)]
+    spark.createDataFrame(rows, "packet binary, received bigint").coalesce(1).write.parquet(str(tmp_path / "p"))
+    out = spark.read.parquet(S.run_to_end(S.sampled_ids(S.packet_stream(spark, str(tmp_path / "p"))), "packets"))
+    assert sorted((r["infohash"], r["seen_at"]) for r in out.collect()) == [("01" * 20, 5), ("02" * 20, 5)]
+
+
+def test_schema_and_settings(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "3", "x")], "id string, total_size string, other string")
+    r = schema.conformed(rows, "torrents").first()
+    assert r["total_size"] == 3 and r["files"] is None and schema.empty(spark, "sightings").count() == 0
+    for name, fields in schema.TABLES.items():
+        assert spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").columns == fields.names
+    path = tmp_path / "s.toml"
+    path.write_text('sync_mode = "remote"\npage_limit = 9000\nunknown = 1\nmin_score = 0.2\n')
+    s = config.load([str(path), "/none"], {"SKEINERY_SYNC_URL": "http://x", "SKEINERY_SEMANTIC": "no"})
+    assert (s.sync_mode, s.page_limit, s.min_score, s.semantic) == ("remote", 500, 0.2, False)
+    assert config.load([str(path)], {}).sync_mode == "local"
+
+
+def test_pooling(spark):
+    df = spark.createDataFrame([([[3.0, 0.0], [0.0, 4.0], [9.0, 9.0]], [1, 1, 0])], "s array<array<double>>, m array<int>")
+    r = df.select(V.mean_pooled(F.col("s"), F.col("m")).alias("a"), V.last_pooled(F.col("s"), F.col("m")).alias("b")).first()
+    assert r["a"] == pytest.approx([0.6, 0.8]) and r["b"] == pytest.approx([0.0, 1.0])
