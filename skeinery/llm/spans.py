@@ -85,7 +85,7 @@ def _points(s: str) -> np.ndarray:
 
 
 def _anchor_blobs(length: int, buckets: int, chars_each: int = 1_500_000):
-    """Map side: anchors of many documents as one packed row for each bucket."""
+    """Map side: anchors of many texts as one packed row for each bucket; copies met in one task count once."""
     period, residues = difference_cover(int(0.7 * length))
     width = length - period + 1
     names = ["bucket", "doc", "n", "h_low", "h_high", "p_low", "p_high"]
@@ -93,6 +93,7 @@ def _anchor_blobs(length: int, buckets: int, chars_each: int = 1_500_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = _Rolling()
         cover = np.zeros(0, np.int64)
+        known: set[int] = set()
 
         def flush(keys: list[int], texts: list[str]):
             nonlocal cover
@@ -125,9 +126,10 @@ def _anchor_blobs(length: int, buckets: int, chars_each: int = 1_500_000):
             texts: list[str] = []
             held = 0
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                t = t.as_py()
-                if k is None or t is None or len(t) < length:
+                if k in known:  # a copy: its anchors are there already
                     continue
+                known.add(k)
+                t = t.as_py()
                 keys.append(k)
                 texts.append(t)
                 held += len(t)
@@ -258,36 +260,44 @@ def _stretches(length: int, width: int):
     return run
 
 
-def shared_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 200, hot: int = 4096, bucket_bytes: int = 6 << 20, bucket_anchors: int = 16_000) -> DataFrame:
+def shared_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 200, hot: int = 20_000, bucket_bytes: int = 6 << 20, bucket_anchors: int = 16_000) -> DataFrame:
     """``key, span_start, span_end``: maximal runs of characters that lie in a
     stretch of at least ``length`` code points found verbatim under another key.
 
     Null keys and null texts take no part; texts below ``length`` have no span;
-    repeated rows of one key count as one document; a stretch repeated only
-    inside one document is not shared.  Equal texts under different keys are
-    shared whole.
-
-    Anchors travel packed, about ten bytes each, into buckets whose number follows
-    the size of the input; a
-    class of more than ``hot`` anchors is extended by counting its stretches in
-    a plain aggregation with map-side combine instead of in one task, with the
-    same result.
+    equal rows of one key count as one document; a stretch repeated only inside
+    one document is not shared.  Equal texts under different keys are shared
+    whole.  Keys are expected to name one text each; if one names several, the
+    spans of all are united.
+
+    Equal texts form a class (by a 64-bit hash) and are searched once: a class
+    of two keys or more is shared whole, and its members get the spans of the
+    class by a join at the end.  Anchors travel packed, about ten bytes each,
+    into buckets whose number follows the size of the input; a window of more
+    than ``hot`` anchors is extended by counting its stretches in a plain
+    aggregation with map-side combine instead of in one task, with the same
+    result.
     """
     kind = docs.schema[key].dataType.simpleString()
     if kind not in ("bigint", "int", "smallint", "tinyint"):
         raise TypeError("the key must be an integer")
     period, _ = difference_cover(int(0.7 * length))
     width = length - period + 1
-    source = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("t")).where(F.col("doc").isNotNull() & (F.char_length("t") >= length))
+    source = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("t")).where(F.col("key").isNotNull() & (F.char_length("t") >= length))
     buckets = parts_for(docs, bucket_bytes)
-    packed = source.mapInArrow(_anchor_blobs(length, buckets), "bucket bigint, doc binary, n binary, h_low binary, h_high binary, p_low binary, p_high binary")
+    members = materialize(source.select("key", F.xxhash64("t").alias("doc"), F.char_length("t").cast("bigint").alias("z")), "span-members")
+    classes = members.groupBy("doc").agg(F.min("key").alias("rep"), F.max("key").alias("last"), F.max("z").alias("z"))
+    packed = source.select(F.xxhash64("t").alias("doc"), "t").mapInArrow(_anchor_blobs(length, buckets), "bucket bigint, doc binary, n binary, h_low binary, h_high binary, p_low binary, p_high binary")
     by_bucket = packed.repartitionById(buckets, F.col("bucket").cast("int"))
     anchors = materialize(by_bucket.mapInArrow(_shared_anchors, "doc bigint, pos int, cls bigint, members bigint"), "span-anchors")
     total = anchors.count()
 
     def with_text(chosen: DataFrame) -> DataFrame:
-        per_doc = chosen.repartition(buckets, "doc").groupBy("doc").agg(F.collect_list(F.struct("pos", "cls")).alias("anchors"))
-        return source.repartition(buckets, "doc").join(per_doc.hint("shuffle_hash"), "doc").select("doc", "t", "anchors")
+        """Each class with anchors once, with its text from the row of its least key."""
+        per_class = chosen.groupBy("doc").agg(F.collect_set(F.struct("pos", "cls")).alias("anchors"))
+        wanted = per_class.join(classes.select("doc", "rep"), "doc").select(F.col("rep").alias("key"), "doc", "anchors")
+        texts = source.repartition(buckets, "key").join(wanted.repartition(buckets, "key").hint("shuffle_hash"), "key")
+        return texts.where(F.xxhash64("t") == F.col("doc")).select("doc", "t", "anchors")
 
     groups = max(1, -(-total // bucket_anchors))
     cold = with_text(anchors.where(F.col("members") <= hot)).mapInArrow(_contexts(length, width, groups), "b bigint, d bigint, p int, c bigint, l int, t string")
@@ -296,7 +306,10 @@ def shared_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
         stretches = materialize(with_text(anchors.where(F.col("members") > hot)).mapInArrow(_stretches(length, width), "doc bigint, h bigint, a bigint"), "span-hot")
         twice = stretches.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("h")
         spans = spans.unionByName(stretches.join(twice, "h").select("doc", "a", (F.col("a") + length).alias("z")))
-    return _merge(spans).withColumnRenamed("doc", key).withColumn(key, F.col(key).cast(kind))
+    copied = classes.where("rep <> last").select("doc", F.lit(0).cast("bigint").alias("a"), "z")
+    found = _merge(spans.unionByName(copied))
+    out = members.select("key", "doc").distinct().join(found, "doc").select(F.col("key").cast(kind).alias("doc"), F.col("span_start").alias("a"), F.col("span_end").alias("z"))
+    return _merge(out).withColumnRenamed("doc", key)
 
 
 def _merge(spans: DataFrame) -> DataFrame:
