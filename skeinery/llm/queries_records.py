@@ -59,7 +59,18 @@ c AS (SELECT term, count(*) AS occurrences, count(DISTINCT id) AS records FROM t
 m AS (SELECT *, CASE WHEN records < 3 THEN 'rare' WHEN records > 0.05 * (SELECT count(*) FROM names) THEN 'common' END AS mark FROM c)
 """
 
+_RUNS = r"""
+WITH s AS (SELECT id, unnest(list_concat([name], list_transform(coalesce(files, []), lambda f: f.path))) AS s FROM torrents),
+low AS (SELECT DISTINCT id, lower(replace(regexp_replace(s, '(\p{L}\p{M}*)Σ($|[^\p{L}\p{M}])', '\1ς\2', 'g'), 'İ', 'i̇')) AS s FROM s WHERE s <> ''),
+t AS (SELECT id, regexp_extract_all(s, '[\p{L}\p{N}]+') AS t FROM low),
+r AS (SELECT DISTINCT id, unnest(CASE WHEN len(t) >= 3 THEN list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END) AS run FROM t),
+n AS (SELECT id, count(*) AS n FROM r GROUP BY id),
+c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS common FROM r a JOIN r b ON a.run = b.run AND a.id < b.id GROUP BY 1, 2)
+SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE 10 * common >= 7 * (x.n + y.n - common)
+"""
+
 ORACLE = {
+    "p5_found": _RUNS,
     "p1_found": _TERMS + "SELECT term, mark FROM m WHERE mark IS NOT NULL",
     "p1_terms": _TERMS + "SELECT term, occurrences, records, mark FROM m",
 }

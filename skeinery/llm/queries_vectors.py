@@ -34,4 +34,14 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours}
-ORACLE: dict[str, str] = {}
+_NEAR = """
+WITH cur AS (SELECT * FROM (SELECT lower(e.id) AS id, e.q, e.dim, m.dim AS wanted, row_number() OVER (PARTITION BY lower(e.id) ORDER BY seq DESC) AS n FROM torrent_embeddings e JOIN embed_models m ON e.model_id = m.model_id AND m.active) WHERE n = 1),
+v AS (SELECT id, list_transform(q, lambda x: x::DOUBLE) AS q, list_sum(list_transform(q, lambda x: x::DOUBLE * x::DOUBLE)) AS s FROM cur WHERE dim = wanted AND len(q) = dim AND list_max(list_transform(q, lambda x: abs(x::INT))) > 0),
+p AS (SELECT a.id, b.id AS neighbour, list_dot_product(a.q, b.q) / sqrt(a.s * b.s) AS score FROM v a JOIN v b ON a.id <> b.id),
+near AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY score DESC, neighbour) AS rank, neighbour, score FROM p QUALIFY rank <= 5)
+"""
+# both compare all vectors with all: meant for the small tables
+ORACLE: dict[str, str] = {
+    "p3_neighbours": _NEAR + "SELECT id, rank, neighbour, score FROM near",
+    "p3_found": _NEAR + "SELECT DISTINCT least(id, neighbour) AS id_a, greatest(id, neighbour) AS id_b FROM near WHERE score >= 0.85",
+}

@@ -131,7 +131,7 @@ class Generations:
         return seen
 
 
-def seen_before(rows: DataFrame, *, order: str, key: str, bits: int = 32, batch_keys: int = 32_768, bytes_each: int = 12 << 20) -> DataFrame:
+def seen_before(rows: DataFrame, *, order: str, key: str, bits: int = 32, batch_keys: int = 8_192, bytes_each: int = 12 << 20) -> DataFrame:
     """``order, seen, error_rate`` for every distinct ``order`` whose key is not null.
 
     ``seen`` says whether the (binary) key occurs under a smaller ``order``.
