@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinery.functions import text as T
 from skeinery.functions import vectors as V
 
 
@@ -69,6 +70,61 @@ def nearest_columns(rows: DataFrame, query: list[int], scale: float, *, k: int,
     return kept.orderBy(F.desc("score"), "seq").limit(k)
 
 
+PACKED = "n int, ids binary, seqs binary, scales binary, q binary"
+
+
+def packed(rows: DataFrame, dim: int, block: int = 65_536) -> DataFrame:
+    """Vectors as blocks of ``block``: contiguous int8 rows with their ids (40 hex digits), write order and scales.
+
+    Meant to be kept (``persist`` or a written table) and asked many times with
+    ``nearest_packed``: a query then moves bytes instead of rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            q = t["q"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int8)
+            parts = [b"".join(t["id"].to_pylist()), t["seq"].to_numpy().tobytes(), t["scale"].to_numpy().tobytes(), q.tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([t.num_rows], pa.int32()), *(pa.array([p], pa.binary()) for p in parts)], names=["n", "ids", "seqs", "scales", "q"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= block:
+                yield flush()
+                held = []
+        if any(b.num_rows for b in held):
+            yield flush()
+
+    kept = rows.where((F.size("q") == dim) & F.col("scale").isNotNull() & T.is_id(F.col("id")))
+    return kept.select(F.unhex("id").alias("id"), "seq", F.col("scale").cast("float").alias("scale"), "q").mapInArrow(run, PACKED)
+
+
+def nearest_packed(blocks: DataFrame, query: list[int], scale: float, *, k: int, least: float = float("-inf")) -> DataFrame:
+    """``nearest`` over packed blocks: one matrix product a block, k rows of each to the final sort."""
+    dim = len(query)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # single precision holds the dot products exactly up to 1,040 dimensions
+        q = np.asarray(query, np.float32 if dim <= 1040 else np.float64)
+        for batch in batches:
+            for n, ids, seqs, scales, m in zip(*(c for c in batch.columns)):
+                n = n.as_py()
+                matrix = np.frombuffer(m.as_buffer(), np.int8).reshape(n, dim)
+                dots = np.concatenate([matrix[a : a + 4096].astype(q.dtype) @ q for a in range(0, n, 4096)])
+                score = dots.astype(np.float64) * np.frombuffer(scales.as_buffer(), np.float32).astype(np.float64) * scale
+                seq = np.frombuffer(seqs.as_buffer(), np.int64)
+                near = np.argpartition(-score, min(k, n - 1))[: k + 1]
+                near = np.flatnonzero(score >= score[near].min()) if n > k else np.arange(n)
+                order = near[np.lexsort((seq[near], -score[near]))][:k]
+                order = order[score[order] >= least]
+                names = np.frombuffer(ids.as_buffer(), "V20")
+                yield pa.RecordBatch.from_arrays([pa.array([names[i].tobytes().hex() for i in order], pa.string()), pa.array(seq[order]), pa.array(score[order])], names=["id", "seq", "score"])
+
+    return blocks.mapInArrow(best, "id string, seq bigint, score double").orderBy(F.desc("score"), "seq").limit(k)
+
+
 def backlog(items: DataFrame, vectors: DataFrame, model_id: str) -> DataFrame:
     """Fetched items with a name worth a vector that have none of this model yet."""
     done = vectors.where(F.col("model_id") == model_id).select("id")

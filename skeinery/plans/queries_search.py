@@ -66,6 +66,7 @@ _ONE = "one AS (SELECT q AS oq, scale AS os FROM vec WHERE scale IS NOT NULL ORD
 _SCORED = f"WITH {_CURRENT}, {_ONE}, sc AS (SELECT id, seq, list_sum(list_transform(range(1, len(q) + 1), lambda i: q[i]::BIGINT * oq[i]::BIGINT))::DOUBLE * scale::DOUBLE * os::DOUBLE AS score FROM vec, one WHERE scale IS NOT NULL)"
 _add("vector_topk_int8", lambda s, d: VS.nearest(_current(s, d), *_example(s, d), k=50).withColumn("score", F.round("score", 6)).drop("seq"), f"{_SCORED} SELECT id, round(score, 6) AS score FROM sc ORDER BY sc.score DESC, seq LIMIT 50")
 _add("vector_topk_columns", lambda s, d: VS.nearest_columns(_current(s, d), *_example(s, d), k=50).withColumn("score", F.round("score", 6)).drop("seq"), f"{_SCORED} SELECT id, round(score, 6) AS score FROM sc ORDER BY sc.score DESC, seq LIMIT 50")
+_add("vector_topk_packed", lambda s, d: VS.nearest_packed(VS.packed(_current(s, d), DIM), *_example(s, d), k=50).withColumn("score", F.round("score", 6)).drop("seq"), f"{_SCORED} SELECT id, round(score, 6) AS score FROM sc ORDER BY sc.score DESC, seq LIMIT 50")
 _add("vector_relative_cut", lambda s, d: R.relative_cut(VS.nearest(_current(s, d), *_example(s, d), k=100, least=0.25), least=0.25).select("id", F.round("score", 6).alias("score")), f"""{_SCORED}, t AS (SELECT * FROM sc WHERE score >= 0.25 ORDER BY score DESC, seq LIMIT 100)
 SELECT id, round(score, 6) AS score FROM t WHERE score >= 0.80 * (SELECT max(score) FROM t)""")
 _add("vector_topk", lambda s, d: _topk_float(s, d), """WITH o AS (SELECT embedding::DOUBLE[] AS w FROM embeddings WHERE vec_id = 0)

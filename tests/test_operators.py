@@ -99,6 +99,10 @@ def test_vector_search_variants_agree(spark):
     a = [tuple(r) for r in VS.nearest(rows, q, 0.02, k=25, least=0.1).select("id", F.round("score", 9)).collect()]
     b = [tuple(r) for r in VS.nearest_columns(rows, q, 0.02, k=25, least=0.1).select("id", F.round("score", 9)).collect()]
     assert a == b and len(a) == 25
+    hexed = rows.withColumn("id", F.lpad("id", 40, "0"))
+    c = VS.nearest_packed(VS.packed(hexed, 8, block=700), q, 0.02, k=25, least=0.1).select("id", F.round("score", 9))
+    assert [(r[0].lstrip("0"), r[1]) for r in c.collect()] == [(i.lstrip("0"), x) for i, x in b]
+    assert VS.nearest_packed(VS.packed(hexed.limit(0), 8), q, 0.02, k=3).collect() == []
     assert VS.quantized_query([0.0, 0.0]) == ([0, 0], 0.0)
 
 
