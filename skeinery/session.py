@@ -49,6 +49,13 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[tuple[SparkSession, str]] = []
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder name in the shared folder, removed when the driver process ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table into the shared folder and read it back.
 
@@ -57,9 +64,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.mode("overwrite").parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

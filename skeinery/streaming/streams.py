@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skeinery.functions import binary as B
 from skeinery.operators import pipeline as P
-from skeinery.session import shared_dir
+from skeinery.session import scratch
 
 
 def table_stream(spark: SparkSession, directory: str, name: str, files_each: int = 1000) -> DataFrame:
@@ -28,7 +27,7 @@ def table_stream(spark: SparkSession, directory: str, name: str, files_each: int
 
 def run_to_end(stream: DataFrame, label: str, *, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> str:
     """Process all that is there and stop; gives the folder of the output (and checkpoint) in the shared folder."""
-    base = f"{shared_dir(stream.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    base = scratch(stream.sparkSession, label)
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{base}/checkpoint")
     writer = writer.foreachBatch(each) if each else writer.format("parquet").option("path", f"{base}/out")
     query = writer.start()
@@ -55,7 +54,7 @@ def rollup_batches(rows: DataFrame, label: str = "rollup") -> DataFrame:
     writes the same place again); the state is the merge of all of them.
     """
     spark = rows.sparkSession
-    base = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    base = scratch(spark, label)
 
     def write(batch: DataFrame, number: int) -> None:
         P.rollup(P.sightings(batch)).write.mode("overwrite").parquet(f"{base}/batch={number}")
@@ -104,7 +103,7 @@ def guarded(write: Callable[[DataFrame, int], None], paused: Callable[[], bool])
 def synced(changes: DataFrame, label: str = "sync") -> DataFrame:
     """Records from a change feed: each batch is written under its number, the newest version of an id wins."""
     spark = changes.sparkSession
-    base = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    base = scratch(spark, label)
     run_to_end(changes, label, each=lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/batch={n}"))
     rows = spark.read.parquet(base)
     return rows.groupBy("id").agg(F.max_by(F.struct("name", "total_size", "files", "first_seen", "last_seen", "seen_count", "seq"), "seq").alias("r")).select("id", "r.*")
