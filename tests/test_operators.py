@@ -13,7 +13,7 @@ from skeinery.operators import pipeline as P
 from skeinery.operators import rank as R
 from skeinery.operators import vector_search as VS
 from skeinery.session import parts_for
-from skeinery.sources import config, feeds
+from skeinery.sources import config, feeds, tables
 from skeinery.streaming import streams as S
 
 NOW = 1_000_000
@@ -166,3 +166,43 @@ def test_pooling(spark):
     df = spark.createDataFrame([([[3.0, 0.0], [0.0, 4.0], [9.0, 9.0]], [1, 1, 0])], "s array<array<double>>, m array<int>")
     r = df.select(V.mean_pooled(F.col("s"), F.col("m")).alias("a"), V.last_pooled(F.col("s"), F.col("m")).alias("b")).first()
     assert r["a"] == pytest.approx([0.6, 0.8]) and r["b"] == pytest.approx([0.0, 1.0])
+
+
+def test_synced_changes_and_guard(spark, tmp_path):
+    rows = [("a", "one", 1), ("b", "two", 2), ("a", "newer", 3)]
+    for i, r in enumerate(rows):
+        spark.createDataFrame([r], "id string, name string, seq bigint").select("id", "name", F.lit(1).cast("bigint").alias("total_size"), F.lit(None).cast("array<struct<path:string,size:bigint>>").alias("files"), F.lit(1).cast("bigint").alias("first_seen"), F.lit(2).cast("bigint").alias("last_seen"), F.lit(1).cast("bigint").alias("seen_count"), "seq").coalesce(1).write.mode("append").parquet(str(tmp_path / "changes.parquet"))
+    got = S.synced(S.table_stream(spark, str(tmp_path), "changes", files_each=1))
+    assert {(r["id"], r["name"]) for r in got.collect()} == {("a", "newer"), ("b", "two")}
+    seen = []
+    write = S.guarded(lambda batch, n: seen.append(n), lambda: len(seen) > 0)
+    write(None, 1)
+    write(None, 2)
+    assert seen == [1]
+    (tmp_path / "names.txt").write_text("a b\n\n  c \n")
+    assert [r["line"] for r in tables.text_lines(spark, str(tmp_path / "names.txt")).collect()] == ["a b", "c"]
+
+
+def test_search_engine(spark):
+    from skeinery.functions.vectors import embed_text
+    from skeinery.operators.fulltext import Index
+    from skeinery.operators.search import Engine, Request
+
+    rows = [(f"{i:040x}", n, 100, 1, 1, i, i, 1, c, True, False) for i, (n, c) in enumerate([("Glass Harbor 2003", "video"), ("Harbor Songs", "audio"), ("Paper Moon", "video"), ("Moon Garden Game", "game")])]
+    items = spark.createDataFrame(rows, "id string, name string, total_size bigint, file_count bigint, first_seen bigint, last_seen bigint, seen_count bigint, peer_count bigint, category string, fetched boolean, garbled boolean")
+    index = Index.build(items.select("id", "name", F.lit("").alias("paths")))
+    vectors = items.select("id", F.col("last_seen").alias("seq"), V.embedded_int8(F.col("name"), 32).alias("x")).select("id", "seq", F.lit(32).alias("dim"), F.col("x.scale").alias("scale"), F.col("x.q").alias("q"))
+    e = Engine(items, index, vectors, 0.1, lambda t: embed_text(t, 32).tolist(), R.lexical_score)
+
+    def names(request):
+        return [r["name"] for r in e.search(request).rows.collect()]
+
+    assert names(Request(text="harb")) == ["Harbor Songs", "Glass Harbor 2003"]
+    assert names(Request(text="movies")) == ["Paper Moon", "Glass Harbor 2003"]
+    assert names(Request(text="")) == ["Moon Garden Game", "Paper Moon", "Harbor Songs", "Glass Harbor 2003"]
+    found = e.search(Request(text="habror"))
+    assert found.corrected == "harbor" and found.rows.count() == 2
+    assert e.search(Request(text="qqzzxx")).weak
+    assert names(Request(text="moon about paper with glass", mode="hybrid"))[0] == "Paper Moon"
+    assert names(Request(text="paper moon story", mode="semantic", limit=1)) == ["Paper Moon"]
+    assert names(Request(text="moon", keep=C.Filter(category="game"))) == ["Moon Garden Game"]
