@@ -220,7 +220,9 @@ def _extend(length: int, width: int):
         points[used] = _points("".join(texts))
         up = _powers(_BASE, wide)
         prefix = np.zeros((n, wide + 1), np.uint64)
-        np.cumsum(_mix(points.astype(np.uint64) + np.uint64(1)) * up, axis=1, out=prefix[:, 1:])
+        for at in range(0, n, 4096):
+            np.cumsum(_mix(points[at : at + 4096].astype(np.uint64) + np.uint64(1)) * up, axis=1, out=prefix[at : at + 4096, 1:])
+        del points
         tail = sizes - lead - width
         salt = _mix(cls.astype(np.uint64))
         low, high = np.full(n, -1), np.full(n, -1)
@@ -260,7 +262,7 @@ def _stretches(length: int, width: int):
     return run
 
 
-def shared_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 200, hot: int = 20_000, bucket_bytes: int = 6 << 20, bucket_anchors: int = 16_000) -> DataFrame:
+def shared_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 200, hot: int = 50_000, bucket_bytes: int = 6 << 20, bucket_anchors: int = 16_000) -> DataFrame:
     """``key, span_start, span_end``: maximal runs of characters that lie in a
     stretch of at least ``length`` code points found verbatim under another key.
 
