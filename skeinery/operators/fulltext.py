@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinery.functions import text as T
@@ -55,6 +55,17 @@ class Index:
         postings = each.groupBy(F.col("t.term").alias("term"), "id").agg(F.sum("t.n").alias("hits_name"), F.sum("t.p").alias("hits_paths"))
         return Index(postings, lengths)
 
+    def write(self, folder: str) -> Index:
+        """Keep the index as tables ordered by term, so a prefix reads only the row groups that can hold it."""
+        ordered = self.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+        ordered.write.mode("overwrite").parquet(f"{folder}/postings")
+        self.lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
+        return Index.read(self.lengths.sparkSession, folder)
+
+    @staticmethod
+    def read(spark: SparkSession, folder: str) -> Index:
+        return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths"))
+
     def vocabulary(self) -> DataFrame:
         """``term, doc, cnt``."""
         return self.postings.groupBy("term").agg(F.count("*").alias("doc"), F.sum(F.col("hits_name") + F.col("hits_paths")).alias("cnt"))

@@ -12,7 +12,7 @@ from skeinery.operators import search as S
 from skeinery.operators import vector_search as VS
 from skeinery.operators.fulltext import Index, documents
 from skeinery.plans import oracle as O
-from skeinery.session import materialize
+from skeinery.session import materialize, scratch
 from skeinery.sources.tables import table
 
 QUERIES: dict = {}
@@ -113,8 +113,7 @@ _add("hybrid_by_size", lambda s, d: R.fused([(x, 1.0) for x in _two_lists(s, d)]
 def _engine(s, d, scorer=None) -> S.Engine:
     names = C.items(s, d).where("fetched AND name <> ''")
     quant = names.select("id", F.xxhash64("id").alias("seq"), F.lit(DIM).alias("dim"), V.embedded_int8(F.col("name"), DIM).alias("x")).select("id", "seq", "dim", F.col("x.scale").alias("scale"), F.col("x.q").alias("q"))
-    index = _index(s, d)
-    index = Index(materialize(index.postings, "postings"), materialize(index.lengths, "lengths"))
+    index = _index(s, d).write(scratch(s, "index"))
     return S.Engine(materialize(C.items(s, d), "items"), index, materialize(quant, "vectors"), 0.2, lambda t: V.embed_text(t, DIM).tolist(), scorer)
 
 

@@ -172,3 +172,13 @@ def test_bm25_equals_fts5(spark):
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
     assert index.ranked("  ..  ").collect() == [] and index.count(None).first()["n"] == 0
     assert compile_query("24.04") == ["24", "04"] and compile_query("24.04", split=False) == ["2404"]
+
+
+def test_kept_index_reads_by_prefix(spark, tmp_path):
+    docs = [(str(i), f"word{i % 97} harbor{i % 3}", "") for i in range(2000)]
+    built = Index.build(spark.createDataFrame(docs, "id string, name string, paths string"))
+    kept = built.write(str(tmp_path))
+    hits = kept.matches("word5 harbor1")
+    assert {r["id"] for r in hits.collect()} == {r["id"] for r in built.matches("word5 harbor1").collect()}
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(term,word5)" in plan and "Python" not in plan
