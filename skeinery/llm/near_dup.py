@@ -216,10 +216,10 @@ class Records:
     def __init__(self, records: DataFrame, *, key: str, strings: str, share: float = 0.7, most_hot: int = 1_000_000, least_hot: int = 20, tile: int = 16_384, rows_each: int = 20_000):
         """``strings`` is an array column; null arrays and null, empty or
         term-less strings add nothing, and a record without any run is similar
-        to none.  Null keys are left out.  Repeated rows of a key are one
+        to none.  Keys come out as strings, null keys are left out.  Repeated rows of a key are one
         record; should their strings differ, the least run set counts.
         """
-        runs = records.select(F.col(key).alias("id"), F.col(strings).alias("s")).where("id is not null").mapInArrow(_hash_runs, "id string, runs array<bigint>")
+        runs = records.select(F.col(key).cast("string").alias("id"), F.col(strings).alias("s")).where("id is not null").mapInArrow(_hash_runs, "id string, runs array<bigint>")
         one = runs.groupBy("id").agg(F.min("runs").alias("runs"))
         self.records = materialize(one.withColumn("c", F.xxhash64("runs")), "dup-records")
         self.members = self.records.select("id", F.when(F.size("runs") > 0, F.col("c")).alias("c"))

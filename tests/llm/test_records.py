@@ -187,3 +187,11 @@ def test_garbled_text(spark):
     assert got.pop(("lost", 0)) is None
     assert got == {(f"b{i}", 1): s for i, s in enumerate(broken.values())}
     assert mojibake.garbled_strings(df.limit(0), key="id", strings="strings").collect() == []
+
+
+def test_integer_keys(spark):
+    df = spark.createDataFrame([(1, ["a b c d"]), (2, ["A b c d"]), (3, ["x"])], "id bigint, strings array<string>")
+    assert [tuple(r) for r in near_dup.Records(df, key="id", strings="strings").record_pairs().collect()] == [("1", "2")]
+    vectors = spark.createDataFrame([(1, [1, 2]), (2, [1, 2]), (3, [2, -1])], "id bigint, q array<tinyint>")
+    near = {(r["id"], r["rank"]): (r["neighbour"], r["score"]) for r in knn.neighbours(vectors, key="id", vector="q", dim=2, k=2).collect()}
+    assert near[1, 1] == (2, 1.0) and near[1, 2] == (3, 0.0) and near[3, 1] == (1, 0.0) and near[3, 2] == (2, 0.0)
