@@ -151,7 +151,8 @@ def neighbours(vectors: DataFrame, *, key: str, vector: str, dim: int, k: int =
     n = classes.count()
     lists = int(min(most_lists, max(1, n // list_size)))
     step = max(1, -(-n // sample))
-    got = classes.where(F.pmod("c", F.lit(step)) == 0).select("q").limit(2 * sample).toArrow() if n else None
+    # in the order of the classes, so the same vectors always give the same centroids
+    got = classes.where(F.pmod("c", F.lit(step)) == 0).select("c", "q").limit(2 * sample).toArrow().sort_by("c") if n else None
     x = unit(_matrix(got["q"], dim)) if got is not None and got.num_rows else np.ones((1, dim), np.float32)
     lists = min(lists, len(x))
     centroids = fit_centroids(x, lists) @ rotation(dim)
