@@ -134,7 +134,8 @@ def neighbours(vectors: DataFrame, *, key: str, vector: str, dim: int, k: int =
     gives no row.
 
     The centroids are fitted on at most ``sample`` vectors and there are at
-    most ``most_lists``; all vectors are assigned.  A list of more than
+    most ``most_lists``; all vectors are assigned.  A query searches ``probes``
+    lists, or the square root of their number where that is more.  A list of more than
     ``part`` vectors is split into parts, each searched by all queries of the
     list, and queries are split into groups of about ``query_part``, so no task
     holds an unbounded list; equal vectors meet only as one class.
@@ -155,6 +156,7 @@ def neighbours(vectors: DataFrame, *, key: str, vector: str, dim: int, k: int =
     got = classes.where(F.pmod("c", F.lit(step)) == 0).select("c", "q").limit(2 * sample).toArrow().sort_by("c") if n else None
     x = unit(_matrix(got["q"], dim)) if got is not None and got.num_rows else np.ones((1, dim), np.float32)
     lists = min(lists, len(x))
+    probes = max(probes, int(np.ceil(np.sqrt(lists))))  # the share of lists that matter shrinks slower than their number grows
     centroids = fit_centroids(x, lists) @ rotation(dim)
     probed = np.argsort(-((x @ rotation(dim)) @ centroids.T), axis=1)[:, : min(probes, lists)]
     share = np.bincount(probed.ravel(), minlength=lists) / len(x)
