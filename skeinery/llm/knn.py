@@ -124,7 +124,7 @@ _HITS = "c bigint, other bigint, score double"
 _SPARE = 3
 
 
-def neighbours(vectors: DataFrame, *, key: str, vector: str, dim: int, k: int = 5, list_size: int = 1024, probes: int = 16, most_lists: int = 8192, sample: int = 65_536, part: int = 4096, query_part: int = 60_000) -> DataFrame:
+def neighbours(vectors: DataFrame, *, key: str, vector: str, dim: int, k: int = 5, list_size: int = 2048, probes: int = 16, most_lists: int = 8192, sample: int = 65_536, part: int = 4096, query_part: int = 60_000) -> DataFrame:
     """``key, rank, neighbour, score``: for every key its ``k`` most similar others.
 
     ``score`` is the cosine of the integer vectors; equal scores rank the
