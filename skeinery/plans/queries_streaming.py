@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skeinery.plans import oracle as O
+from skeinery.plans.queries_analytics import _LOG
 from skeinery.plans.queries_pipeline import _ROLL
 from skeinery.streaming import streams as S
 
@@ -15,7 +16,7 @@ def stream_dedup(s, d):
 
 
 def stream_metrics(s, d):
-    return s.read.parquet(S.run_to_end(S.windowed_metrics(S.table_stream(s, d, "metric_log"), late="0 seconds"), "metrics"))
+    return S.metric_batches(S.table_stream(s, d, "metric_log"))
 
 
 def stream_rollup(s, d):
@@ -31,5 +32,6 @@ def stream_fifo(s, d):
 QUERIES = {"stream_dedup": stream_dedup, "stream_metrics": stream_metrics, "stream_rollup": stream_rollup, "stream_fifo": stream_fifo}
 ORACLE = {
     "stream_dedup": "SELECT DISTINCT sighting_id FROM sightings WHERE sighting_id IS NOT NULL",
+    "stream_metrics": f"WITH {_LOG} SELECT name, bucket, value FROM b",
     "stream_rollup": f"WITH {O.SEEN} {_ROLL}",
 }

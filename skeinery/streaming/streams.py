@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinery.functions import binary as B
+from skeinery.operators import analytics as A
 from skeinery.operators import pipeline as P
 from skeinery.session import scratch
 
@@ -41,8 +42,24 @@ def deduplicated(rows: DataFrame, key: str, time: str, horizon: str = "30 days")
     return timed.dropDuplicatesWithinWatermark([key]).drop("_t")
 
 
+def batch_parts(rows: DataFrame, label: str, part: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``part`` makes of each micro-batch, all of them together: each is written under its batch number (a replay writes the same place again)."""
+    base = scratch(rows.sparkSession, label)
+    run_to_end(rows, label, each=lambda batch, n: part(batch).write.mode("overwrite").parquet(f"{base}/batch={n}"))
+    return rows.sparkSession.read.parquet(base).drop("batch")
+
+
+def metric_batches(log: DataFrame, label: str = "metrics") -> DataFrame:
+    """``metric_buckets`` of a whole log, in whatever order its files come: sums of each micro-batch, added up at the end."""
+    return batch_parts(log, label, A.metric_buckets).groupBy("name", "bucket").agg(F.sum("value").alias("value"))
+
+
 def windowed_metrics(log: DataFrame, *, width: str = "10 minutes", late: str = "2 hours") -> DataFrame:
-    """Sum of increments by name and tumbling window of event time."""
+    """Sum of increments by name and tumbling window of event time, for a feed without end.
+
+    Rows later than ``late`` are dropped and the newest windows stay open; a
+    stored log is summed whole by ``metric_batches``.
+    """
     timed = log.where("name is not null and n > 0").withColumn("t", F.timestamp_seconds("ts")).withWatermark("t", late)
     return timed.groupBy("name", F.window("t", width)).agg(F.sum("n").alias("value")).select("name", F.unix_seconds(F.col("window.start")).alias("bucket"), "value")
 

@@ -1,5 +1,6 @@
 """Scenarios of catalogue, ranking, pipeline, feeds and streams on tiny tables."""
 
+import functools
 import json
 
 import pytest
@@ -12,6 +13,7 @@ from skeinery.operators import catalog as C
 from skeinery.operators import pipeline as P
 from skeinery.operators import rank as R
 from skeinery.operators import vector_search as VS
+from skeinery.plans.queries_streaming import QUERIES as STREAMS
 from skeinery.session import parts_for
 from skeinery.sources import config, feeds, tables
 from skeinery.streaming import streams as S
@@ -133,6 +135,15 @@ def test_streams_equal_batch(spark, tmp_path):
     assert out.where("is_new").count() == 5 and out.count() == 41
 
 
+def test_stream_metrics_of_unordered_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "table_stream", functools.partial(S.table_stream, files_each=1))
+    parts = [[("x", 90_000, 1), ("y", 5, 2)], [("x", 10, 4), ("x", 90_001, 8)], [("y", 5, 16), ("y", 40_000, 32), ("x", None, 64), ("x", 20, 0), (None, 1, 5)]]
+    for part in parts:
+        spark.createDataFrame(part, "name string, ts bigint, n bigint").coalesce(1).write.mode("append").parquet(str(tmp_path / "metric_log.parquet"))
+    got = {(r["name"], r["bucket"], r["value"]) for r in STREAMS["stream_metrics"](spark, str(tmp_path)).collect()}
+    assert got == {("x", 90_000, 9), ("x", 0, 4), ("x", None, 64), ("y", 0, 18), ("y", 39_600, 32)}
+
+
 def test_stream_correlation(spark, tmp_path):
     for name, schema, rows in (("a", "txid string, sent timestamp", [("x", 0), ("y", 0)]), ("b", "txid string, received timestamp", [("x", 10), ("y", 50), ("z", 1)])):
         df = spark.createDataFrame(rows, "txid string, s int").select("txid", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias(schema.split(" ")[2]))
