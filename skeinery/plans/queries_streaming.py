@@ -11,8 +11,7 @@ from skeinery.streaming import streams as S
 
 
 def stream_dedup(s, d):
-    rows = S.table_stream(s, d, "sightings").where("sighting_id is not null").select("sighting_id", "infohash", "arrived_at")
-    return s.read.parquet(S.run_to_end(S.deduplicated(rows, "sighting_id", "arrived_at"), "dedup")).select("sighting_id")
+    return S.distinct_batches(S.table_stream(s, d, "sightings").where("sighting_id is not null").select("sighting_id"))
 
 
 def stream_metrics(s, d):

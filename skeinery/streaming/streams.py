@@ -37,7 +37,11 @@ def run_to_end(stream: DataFrame, label: str, *, mode: str = "append", each: Cal
 
 
 def deduplicated(rows: DataFrame, key: str, time: str, horizon: str = "30 days") -> DataFrame:
-    """Each key once within the horizon; state is dropped as the watermark passes."""
+    """Each key once within the horizon, for a feed without end; state is dropped as the watermark passes, and so are rows behind it.
+
+    A stored table, whose files come in any order, is deduplicated whole by
+    ``distinct_batches``.
+    """
     timed = rows.withColumn("_t", F.col(time).cast("timestamp")).withWatermark("_t", horizon)
     return timed.dropDuplicatesWithinWatermark([key]).drop("_t")
 
@@ -49,6 +53,11 @@ def batch_parts(rows: DataFrame, label: str, part: Callable[[DataFrame], DataFra
     return rows.sparkSession.read.parquet(base).drop("batch")
 
 
+def distinct_batches(keys: DataFrame, label: str = "dedup") -> DataFrame:
+    """The distinct rows of a whole table, in whatever order its files come: those of each micro-batch, merged at the end."""
+    return batch_parts(keys, label, lambda batch: batch.distinct()).distinct()
+
+
 def metric_batches(log: DataFrame, label: str = "metrics") -> DataFrame:
     """``metric_buckets`` of a whole log, in whatever order its files come: sums of each micro-batch, added up at the end."""
     return batch_parts(log, label, A.metric_buckets).groupBy("name", "bucket").agg(F.sum("value").alias("value"))

@@ -135,6 +135,15 @@ def test_streams_equal_batch(spark, tmp_path):
     assert out.where("is_new").count() == 5 and out.count() == 41
 
 
+def test_stream_dedup_of_unordered_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "table_stream", functools.partial(S.table_stream, files_each=1))
+    for part in ([(1, 100), (2, 90)], [(3, 0), (1, 100), (4, 40)], [(2, 90), (5, 1), (None, 2)]):  # days of arrival
+        rows = spark.createDataFrame(part, "sighting_id bigint, day int")
+        rows = rows.select("sighting_id", F.lit("x").alias("infohash"), F.timestamp_seconds(F.col("day") * 86_400).cast("timestamp_ntz").alias("arrived_at"))
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "sightings.parquet"))
+    assert sorted(r["sighting_id"] for r in STREAMS["stream_dedup"](spark, str(tmp_path)).collect()) == [1, 2, 3, 4, 5]
+
+
 def test_stream_metrics_of_unordered_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(S, "table_stream", functools.partial(S.table_stream, files_each=1))
     parts = [[("x", 90_000, 1), ("y", 5, 2)], [("x", 10, 4), ("x", 90_001, 8)], [("y", 5, 16), ("y", 40_000, 32), ("x", None, 64), ("x", 20, 0), (None, 1, 5)]]
