@@ -125,10 +125,14 @@ def ready_stock(states: DataFrame, now: int) -> DataFrame:
     )
 
 
-def recategorized(items: DataFrame, limit: int = 50_000) -> DataFrame:
-    """Items of category 'other' with the category their name and files give now, where that differs."""
-    rows = items.where("category = 'other'").orderBy("id").limit(limit)
-    return rows.withColumn("category", T.category(F.col("name"), F.col("files"))).where("category <> 'other'")
+def recategorized(items: DataFrame, limit: int | None = None) -> DataFrame:
+    """Items of category 'other' with the category their name and files give now, where that differs.
+
+    All of them, or with ``limit`` the first by id: rows that stay 'other'
+    don't count, so repeated calls get through to the end.
+    """
+    rows = items.where("category = 'other'").withColumn("category", T.category(F.col("name"), F.col("files"))).where("category <> 'other'")
+    return rows if limit is None else rows.orderBy("id").limit(limit)
 
 
 def first_wins(arms: list[DataFrame], orders: list[list[Column]]) -> DataFrame:

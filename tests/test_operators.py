@@ -56,6 +56,12 @@ def test_queue_and_purge(spark):
     assert [r["id"] for r in P.triage_queue(s, 5).collect()] == ["hot"]
 
 
+def test_every_other_item_is_judged_again(spark):
+    rows = spark.range(50_003).select(F.format_string("%040x", "id").alias("id"), F.when(F.col("id") < 50_000, "plain").otherwise("show s01e02").alias("name"), F.expr("cast(null as array<struct<path:string,size:bigint>>)").alias("files"), F.lit("other").alias("category"))
+    assert {(r["id"], r["category"]) for r in P.recategorized(rows).collect()} == {(f"{i:040x}", "video") for i in range(50_000, 50_003)}
+    assert [r["id"] for r in P.recategorized(rows, 2).collect()] == [f"{i:040x}" for i in (50_000, 50_001)]
+
+
 def test_dashboards(spark):
     items = spark.createDataFrame([("a", 100, True), ("b", 100 + 7200, True), ("c", 100 + 7200, False)], "id string, first_seen bigint, fetched boolean")
     rows = A.discovery(items, now=100 + 7300, width=3600, points=3).collect()
