@@ -29,7 +29,8 @@ def p3_neighbours(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
-    near = p3_neighbours(spark, directory).where(F.col("score") >= LEAST_SCORE)
+    rows, dim = _current(spark, directory)
+    near = knn.neighbours(rows, key="id", vector="q", dim=dim, k=K, least=LEAST_SCORE)
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 

@@ -74,7 +74,7 @@ def exact_neighbours(vectors, k):
     return {i: [ids[j] for j in np.lexsort((np.arange(len(ids)), -s[n]))[: min(k, len(ids) - 1)]] for n, i in enumerate(ids)}
 
 
-@pytest.mark.parametrize("options", [{}, {"list_size": 60, "probes": 8, "part": 25, "query_part": 100}])
+@pytest.mark.parametrize("options", [{}, {"cell_size": 60, "fine_size": 20, "part": 25, "query_part": 100}])
 def test_neighbours(spark, options):
     rng = np.random.default_rng(5)
     centres = rng.integers(-90, 90, (12, 16))
