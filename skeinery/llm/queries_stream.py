@@ -42,14 +42,8 @@ def p4_found(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p4_rate(spark: SparkSession, directory: str) -> DataFrame:
-    """Answers, answers "seen" and the expected number and rate of wrong ones."""
-    t = _tested(spark, directory)
-    return t.agg(
-        F.count("*").alias("answers"),
-        F.count_if("seen").alias("seen"),
-        F.coalesce(F.sum("error_rate"), F.lit(0.0)).alias("expected_wrong"),
-        F.coalesce(F.avg("error_rate"), F.lit(0.0)).alias("expected_wrong_rate"),
-    )
+    """Answers, answers "seen" by where they were found, and the expected number and rate of wrong ones."""
+    return seen.error_rate(_tested(spark, directory))
 
 
 QUERIES = {"p2_found": p2_found, "p2_bounds": p2_bounds, "p4_found": p4_found, "p4_rate": p4_rate}
