@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,13 +13,19 @@ from pyspark.sql import functions as F
 from skeinery.session import materialize
 
 
-def plan_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
+def plan_patterns(histogram: dict[int, int], capacity: int, rule: str = "shortest") -> list[tuple[int, list[tuple[int, int]]]]:
     """Packing patterns ``(count, [(length, times), ...])`` for a histogram of lengths.
 
-    Lengths are placed longest first.  Each goes into the packs with the least
-    room that still takes it, a whole pattern count at a time, so the work
-    follows the number of distinct lengths and not the number of items.
+    Lengths are placed longest first, a whole pattern count at a time, so the
+    work follows the number of distinct lengths and not the number of items.
+    ``rule`` chooses the open packs that are extended: 'shortest' takes the
+    shortest pack first, the one with the most room, and gives each of its
+    containers one item before the next shortest is looked at; 'longest' takes
+    the pack with the least room that still fits and fills it.  Only when no
+    open pack fits, new packs are opened.
     """
+    if rule not in ("shortest", "longest"):
+        raise ValueError("rule must be 'shortest' or 'longest'")
     open_by_room: dict[int, list[tuple[int, list[tuple[int, int]]]]] = {}
     rooms: list[int] = []  # sorted rooms with open patterns
     done: list[tuple[int, list[tuple[int, int]]]] = []
@@ -29,7 +36,7 @@ def plan_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[int, l
             return
         if room not in open_by_room:
             open_by_room[room] = []
-            rooms.insert(int(np.searchsorted(rooms, room)) if rooms else 0, room)
+            insort(rooms, room)
         open_by_room[room].append((count, slots))
 
     for length in sorted(histogram, reverse=True):
@@ -37,8 +44,8 @@ def plan_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[int, l
         if not 0 < length <= capacity:
             raise ValueError("a length must lie in 1..capacity")
         while left:
-            at = int(np.searchsorted(rooms, length)) if rooms else 0
-            if at == len(rooms):
+            at = len(rooms) - 1 if rule == "shortest" else bisect_left(rooms, length)
+            if not 0 <= at < len(rooms) or rooms[at] < length:  # nothing fits: as many new packs as full ones take
                 times = min(capacity // length, left)
                 count = left // times
                 put(count, [(length, times)], capacity - length * times)
@@ -49,11 +56,15 @@ def plan_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[int, l
             if not open_by_room[room]:
                 del open_by_room[room]
                 rooms.pop(at)
-            times = min(room // length, left)
+            times = 1 if rule == "shortest" else min(room // length, left)
             used = min(count, left // times)
             if used < count:
                 put(count - used, slots, room)
-            put(used, [*slots, (length, times)], room - length * times)
+            if slots[-1][0] == length:
+                slots = [*slots[:-1], (length, slots[-1][1] + times)]
+            else:
+                slots = [*slots, (length, times)]
+            put(used, slots, room - length * times)
             left -= used * times
     for groups in open_by_room.values():
         done += groups
@@ -82,7 +93,7 @@ def _slots(patterns: list[tuple[int, list[tuple[int, int]]]]):
     return [np.array(c, np.int64) for c in zip(*rows)] if rows else [np.zeros(0, np.int64)] * 4
 
 
-def pack(items: DataFrame, *, key: str, size: str, capacity: int, bucket_rows: int = 100_000) -> DataFrame:
+def pack(items: DataFrame, *, key: str, size: str, capacity: int, rule: str = "shortest", bucket_rows: int = 100_000) -> DataFrame:
     """``key, piece, start, n, container, position`` for every item.
 
     An item above ``capacity`` is cut into full pieces and a rest, numbered by
@@ -91,6 +102,7 @@ def pack(items: DataFrame, *, key: str, size: str, capacity: int, bucket_rows: i
     are items of their own.  ``container`` counts from 0 without gaps,
     ``position`` is the place inside it.
 
+    Packs are chosen shortest first, or by ``rule`` (see ``plan_patterns``).
     The histogram has at most ``capacity`` rows and goes to the driver; the
     patterns come back as slot arrays whose size depends on the distinct
     lengths.  Ranks inside a length are counted in buckets, so a length that
@@ -109,11 +121,11 @@ def pack(items: DataFrame, *, key: str, size: str, capacity: int, bucket_rows: i
     by_bucket = counted.withColumn("b", bucket)
     counts = by_bucket.groupBy("n", "b").count()
     histogram = {r["n"]: r["c"] for r in counts.groupBy("n").agg(F.sum("count").alias("c")).collect()}
-    slot_arrays = _slots(plan_patterns(histogram, capacity))
+    slot_arrays = _slots(plan_patterns(histogram, capacity, rule))
     before = Window.partitionBy("n").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("n", "b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
     inside = Window.partitionBy("n", "b").orderBy("k", "piece")
-    ranked = by_bucket.withColumn("r", F.row_number().over(inside) - 1).join(firsts, ["n", "b"]).select("k", "piece", "n", (F.col("r") + F.col("first")).alias("rank"))
+    ranked = by_bucket.withColumn("r", F.row_number().over(inside) - 1).join(firsts.hint("shuffle_merge"), ["n", "b"]).select("k", "piece", "n", (F.col("r") + F.col("first")).alias("rank"))
     shared = items.sparkSession.sparkContext.broadcast(slot_arrays)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -60,35 +60,37 @@ def test_corpus_encoding(spark, other):
     assert tokens.encode_ids(docs(spark, [])).collect() == []
 
 
-def best_fit(sizes, capacity):
-    """Containers that plain best fit needs, one item at a time, longest first."""
+def fit(sizes, capacity, rule):
+    """Containers needed one item at a time, longest first, into the most room or the least that fits."""
     rooms: list[int] = []
     for n in sorted(sizes, reverse=True):
-        at = bisect.bisect_left(rooms, n)
-        room = rooms.pop(at) if at < len(rooms) else capacity
+        at = bisect.bisect_left(rooms, n) if rule == "longest" else len(rooms) - 1
+        room = rooms.pop(at) if 0 <= at < len(rooms) and rooms[at] >= n else capacity
         bisect.insort(rooms, room - n)
     return len(rooms)
 
 
+@pytest.mark.parametrize("rule", ["shortest", "longest"])
 @pytest.mark.parametrize("seed", range(4))
-def test_patterns_place_every_item_once(seed):
+def test_patterns_place_every_item_once(seed, rule):
     rng = random.Random(seed)
     histogram = {rng.randrange(1, 101): rng.randrange(1, 500) for _ in range(60)}
-    patterns = packing.plan_patterns(dict(histogram), 100)
+    patterns = packing.plan_patterns(dict(histogram), 100, rule)
     placed: dict[int, int] = {}
     for count, slots in patterns:
         assert sum(length * times for length, times in slots) <= 100
         for length, times in slots:
             placed[length] = placed.get(length, 0) + times * count
     assert placed == histogram
-    assert sum(c for c, _ in patterns) == best_fit([k for k, v in histogram.items() for _ in range(v)], 100)
+    assert sum(c for c, _ in patterns) == fit([k for k, v in histogram.items() for _ in range(v)], 100, rule)
 
 
-def test_pack(spark):
+@pytest.mark.parametrize("rule", ["shortest", "longest"])
+def test_pack(spark, rule):
     rng = random.Random(1)
     items = [(i, 7 if i % 3 == 0 else rng.randrange(0, 40)) for i in range(3000)] + [(5000, 95), (5001, 40), (None, 12), (5002, None), (5003, -4), (1, 9), (1, 9)]
     df = spark.createDataFrame([(i, n, "x") for i, n in items], "k bigint, size bigint, n string")
-    rows = packing.pack(df, key="k", size="size", capacity=40, bucket_rows=100).collect()
+    rows = packing.pack(df, key="k", size="size", capacity=40, rule=rule, bucket_rows=100).collect()
     assert sum(r["n"] for r in rows) == sum(n for _, n in items if n and n > 0)
     by: dict[int, list] = {}
     for r in rows:
@@ -101,7 +103,7 @@ def test_pack(spark):
             at += n
         assert at <= 40
     assert [(r["piece"], r["start"], r["n"]) for r in sorted(rows, key=lambda r: r["piece"]) if r["k"] == 5000] == [(0, 0, 40), (1, 40, 40), (2, 80, 15)]
-    assert len(by) == best_fit([r["n"] for r in rows], 40)
+    assert len(by) == fit([r["n"] for r in rows], 40, rule)
     assert packing.pack(df.limit(0), key="k", size="size", capacity=40).collect() == []
 
 
