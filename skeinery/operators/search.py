@@ -48,7 +48,7 @@ class Outcome:
 
 @dataclass
 class Engine:
-    """What searches read: items, the text index and, where there are any, vectors.
+    """What searches read: items, the text index and, where there are any, vectors (rows or packed blocks).
 
     ``embed`` turns a query into a vector; ``scorer`` reranks.  Either may be
     missing: the search then does without.
@@ -56,7 +56,7 @@ class Engine:
 
     items: DataFrame
     index: Index
-    vectors: DataFrame | None = None
+    vectors: DataFrame | vector_search.VectorStore | None = None
     least_score: float = 0.45
     embed: Callable[[str], list[float]] | None = None
     scorer: Callable[[str, str | None], float] | None = None
@@ -77,7 +77,7 @@ class Engine:
         if self.vectors is None or self.embed is None or not text.strip():
             return None
         q, scale = vector_search.quantized_query(self.embed(text))
-        hits = vector_search.nearest(self.vectors, q, scale, k=SEMANTIC_K, least=self.least_score)
+        hits = vector_search.nearest_any(self.vectors, q, scale, k=SEMANTIC_K, least=self.least_score)
         return rank.relative_cut(hits, least=self.least_score)
 
     def candidates(self, keyword_text: str, semantic: DataFrame | None, request: Request, plan: QueryPlan) -> DataFrame:
@@ -134,11 +134,10 @@ class Engine:
         return self._words
 
     def best_candidate(self, text: str, most: int = 64) -> str | None:
-        """The first corrected query that matches anything."""
-        for candidate in self.words().candidates(text, most):
-            if self.index.matches(candidate).limit(1).count():
-                return candidate
-        return None
+        """The first corrected query that matches anything; all are matched in one pass."""
+        candidates = self.words().candidates(text, most)
+        first = self.index.matching(candidates).agg(F.min("n")).first()[0] if candidates else None
+        return None if first is None else candidates[first]
 
     def search(self, request: Request) -> Outcome:
         """Search with the lexical shortcut for short queries and one corrected retry for weak ones."""

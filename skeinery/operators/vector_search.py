@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinery.functions import text as T
@@ -19,8 +22,8 @@ def current(embeddings: DataFrame, models: DataFrame | None = None, model_id: st
         rows = embeddings.where(F.col("model_id") == model_id)
     else:
         rows = embeddings.join(F.broadcast(models.where("active").select("model_id")), "model_id", "left_semi")
-    newest = Window.partitionBy("id").orderBy(F.desc("seq"))
-    return rows.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+    newest = rows.groupBy("id").agg(F.max_by(F.struct(*rows.columns), "seq").alias("v"))  # combined before the shuffle
+    return newest.select("v.*")
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -34,34 +37,73 @@ def quantized_query(vector: list[float]) -> tuple[list[int], float]:
     return q.astype(int).tolist(), scale
 
 
+def _single(dim: int) -> type:
+    """Single precision holds int8 dot products exactly up to 1,040 dimensions."""
+    return np.float32 if dim <= 1040 else np.float64
+
+
+class _Best:
+    """The best ``k`` of what one partition has scored: the k-th score bounds every later block."""
+
+    def __init__(self, query: list[int], scale: float, k: int, least: float):
+        self.dim, self.k = len(query), k
+        self.q = np.asarray(query, _single(self.dim))
+        self.scale, self.bound, self.least = scale, least, least
+        self.rows = np.empty((max(1, 262_144 // max(1, self.dim)), self.dim), self.q.dtype)  # fits a core's cache; reused
+        self.dots = np.empty(len(self.rows), self.q.dtype)
+        self.score, self.seq, self.name = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, object)
+
+    def add(self, m: np.ndarray, scales: np.ndarray, seqs: Callable[[np.ndarray], np.ndarray], names: Callable[[np.ndarray], np.ndarray]) -> None:
+        """Score the int8 rows ``m``; order and names are looked up only for rows that reach the bound."""
+        step = len(self.rows)
+        for a in range(0, len(m), step):
+            n = min(step, len(m) - a)
+            np.copyto(self.rows[:n], m[a : a + n])
+            np.dot(self.rows[:n], self.q, out=self.dots[:n])
+            score = self.dots[:n].astype(np.float64) * scales[a : a + n] * self.scale
+            at = np.flatnonzero(score >= self.bound)
+            if not len(at):
+                continue
+            score = np.concatenate([self.score, score[at]])
+            seq = np.concatenate([self.seq, seqs(at + a)])
+            name = np.concatenate([self.name, names(at + a)])
+            order = np.lexsort((seq, -score))[: self.k]
+            self.score, self.seq, self.name = score[order], seq[order], name[order]
+            if len(order) == self.k:
+                self.bound = max(self.least, self.score[-1])
+
+    def batch(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.name, pa.string()), pa.array(self.seq), pa.array(self.score)], names=["id", "seq", "score"])
+
+
 def nearest(rows: DataFrame, query: list[int], scale: float, *, k: int, least: float = float("-inf")) -> DataFrame:
-    """``id, score``: the ``k`` vectors with the highest scale * scale * dot, at least ``least``; ties by write order.
+    """``id, seq, score``: the ``k`` vectors with the highest scale * scale * dot, at least ``least``; ties by write order.
 
-    Every partition keeps its own best ``k`` in NumPy, so only k rows a
-    partition reach the final sort.
+    Every partition keeps its own best ``k`` in NumPy and its k-th score as the
+    bound of what follows, so only k rows a partition reach the final sort.
     """
     dim = len(query)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = np.asarray(query, np.int32)
-        held: pa.Table | None = None
+        held = _Best(query, scale, k, least)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            m = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.int32)
-            score = (m @ q).astype(np.float64) * batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64) * scale
-            part = pa.table({"id": batch.column(0), "seq": batch.column(1), "score": pa.array(score)})
-            held = part if held is None else pa.concat_tables([held, part])
-            s, w = held["score"].to_numpy(), held["seq"].to_numpy()
-            order = np.lexsort((w, -s))[:k]
-            held = held.take(pa.array(order[s[order] >= least]))
-        if held is not None:
-            yield from held.to_batches()
+            if batch.num_rows:
+                m = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                seq, ids = batch.column(1).to_numpy(zero_copy_only=False), batch.column(0)
+                held.add(m, batch.column(2).to_numpy(zero_copy_only=False), lambda at: seq[at], lambda at: ids.take(pa.array(at)).to_numpy(zero_copy_only=False))
+        yield held.batch()
 
     fed = rows.where((F.size("q") == dim) & F.col("scale").isNotNull()).select("id", "seq", F.col("scale").cast("double").alias("s"), "q")
     return fed.mapInArrow(best, "id string, seq bigint, score double").orderBy(F.desc("score"), "seq").limit(k)
 
 
+def nearest_any(vectors: DataFrame | VectorStore, query: list[int], scale: float, *, k: int, least: float = float("-inf")) -> DataFrame:
+    """``nearest`` over rows, packed blocks or a store, whichever ``vectors`` is."""
+    if isinstance(vectors, VectorStore):
+        return vectors.nearest(query, scale, k=k, least=least)
+    return (nearest_packed if "seqs" in vectors.columns else nearest)(vectors, query, scale, k=k, least=least)
+
+
 def nearest_columns(rows: DataFrame, query: list[int], scale: float, *, k: int, least: float = float("-inf")) -> DataFrame:
     """``nearest`` with built-in columns only, without Python on the executors."""
     literal = F.array(*(F.lit(x).cast("tinyint") for x in query))
@@ -102,29 +144,95 @@ def packed(rows: DataFrame, dim: int, block: int = 65_536) -> DataFrame:
 
 
 def nearest_packed(blocks: DataFrame, query: list[int], scale: float, *, k: int, least: float = float("-inf")) -> DataFrame:
-    """``nearest`` over packed blocks: one matrix product a block, k rows of each to the final sort."""
+    """``nearest`` over packed blocks: matrix products in cache-sized pieces, k rows a partition to the final sort."""
     dim = len(query)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # single precision holds the dot products exactly up to 1,040 dimensions
-        q = np.asarray(query, np.float32 if dim <= 1040 else np.float64)
+        held = _Best(query, scale, k, least)
         for batch in batches:
-            for n, ids, seqs, scales, m in zip(*(c for c in batch.columns)):
-                n = n.as_py()
-                matrix = np.frombuffer(m.as_buffer(), np.int8).reshape(n, dim)
-                dots = np.concatenate([matrix[a : a + 4096].astype(q.dtype) @ q for a in range(0, n, 4096)])
-                score = dots.astype(np.float64) * np.frombuffer(scales.as_buffer(), np.float32).astype(np.float64) * scale
-                seq = np.frombuffer(seqs.as_buffer(), np.int64)
-                near = np.argpartition(-score, min(k, n - 1))[: k + 1]
-                near = np.flatnonzero(score >= score[near].min()) if n > k else np.arange(n)
-                order = near[np.lexsort((seq[near], -score[near]))][:k]
-                order = order[score[order] >= least]
-                names = np.frombuffer(ids.as_buffer(), "V20")
-                yield pa.RecordBatch.from_arrays([pa.array([names[i].tobytes().hex() for i in order], pa.string()), pa.array(seq[order]), pa.array(score[order])], names=["id", "seq", "score"])
+            for n, ids, seqs, scales, m in zip(*batch.columns):
+                matrix = np.frombuffer(m.as_buffer(), np.int8).reshape(n.as_py(), dim)
+                seq, names = np.frombuffer(seqs.as_buffer(), np.int64), np.frombuffer(ids.as_buffer(), "V20")
+                held.add(matrix, np.frombuffer(scales.as_buffer(), np.float32), lambda at: seq[at], lambda at: np.array([names[i].tobytes().hex() for i in at], object))
+        yield held.batch()
 
     return blocks.mapInArrow(best, "id string, seq bigint, score double").orderBy(F.desc("score"), "seq").limit(k)
 
 
+_LAID = "file string, n int"
+
+
+def _local(path: str) -> str | None:
+    """The plain path of a folder that every executor mounts (a ``file:`` URI), None for an object store."""
+    return "/" + path[5:].lstrip("/") if path.startswith("file:") else path if path.startswith("/") else None
+
+
+@dataclass
+class VectorStore:
+    """Packed vectors laid out once and asked many times.
+
+    Where the shared folder is mounted, each block is a flat file that Python
+    workers map into memory: a query moves nothing but its k best rows, and
+    the workers of one machine share the pages.  Elsewhere the blocks are a
+    Parquet table and every query reads it.  The list of block files goes to
+    the driver: one entry for 65,536 vectors.
+    """
+
+    spark: SparkSession
+    dim: int
+    files: list[tuple[str, int]] | None = None
+    blocks: DataFrame | None = None
+
+    @staticmethod
+    def write(rows: DataFrame, dim: int, folder: str, block: int = 65_536) -> VectorStore:
+        place = _local(folder)
+        blocks = packed(rows, dim, block)
+        if place is None:
+            blocks.write.mode("overwrite").parquet(f"{folder}/blocks")
+        else:
+
+            def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                os.makedirs(f"{place}/flat", exist_ok=True)
+                for batch in batches:
+                    for n, *parts in zip(*batch.columns):
+                        name = f"{place}/flat/{uuid.uuid4().hex}"  # a repeated task leaves a file that no list names
+                        with open(name, "wb") as f:
+                            for part in reversed(parts):  # q, scales, seqs, ids
+                                f.write(part.as_buffer())
+                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n.as_py()], pa.int32())], names=["file", "n"])
+
+            blocks.mapInArrow(lay, _LAID).write.mode("overwrite").parquet(f"{folder}/laid")
+        return VectorStore.read(rows.sparkSession, folder, dim)
+
+    @staticmethod
+    def read(spark: SparkSession, folder: str, dim: int) -> VectorStore:
+        if _local(folder) is None:
+            return VectorStore(spark, dim, blocks=spark.read.parquet(f"{folder}/blocks"))
+        return VectorStore(spark, dim, [tuple(r) for r in spark.read.parquet(f"{folder}/laid").collect()])
+
+    def nearest(self, query: list[int], scale: float, *, k: int, least: float = float("-inf")) -> DataFrame:
+        """``id, seq, score`` as ``nearest`` gives them."""
+        if self.files is None:
+            return nearest_packed(self.blocks, query, scale, k=k, least=least)
+        if len(query) != self.dim:
+            raise ValueError(f"the store holds vectors of {self.dim} dimensions")
+        dim, files = self.dim, self.files
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = _Best(query, scale, k, least)
+            for batch in batches:
+                for i in batch.column(0).to_pylist():
+                    name, n = files[i]
+                    flat = np.memmap(name, np.uint8, "r")
+                    q, rest = flat[: n * dim].view(np.int8).reshape(n, dim), flat[n * dim :]
+                    scales, seqs, names = (np.ndarray(n, kind, rest, a * n) for a, kind in ((0, np.float32), (4, np.int64), (12, "V20")))
+                    held.add(q, scales, lambda at: seqs[at], lambda at: np.array([names[j].tobytes().hex() for j in at], object))
+            yield held.batch()
+
+        numbers = self.spark.range(0, len(files), 1, max(1, min(len(files), 4 * self.spark.sparkContext.defaultParallelism)))
+        return numbers.mapInArrow(best, "id string, seq bigint, score double").orderBy(F.desc("score"), "seq").limit(k)
+
+
 def backlog(items: DataFrame, vectors: DataFrame, model_id: str) -> DataFrame:
     """Fetched items with a name worth a vector that have none of this model yet."""
     done = vectors.where(F.col("model_id") == model_id).select("id")

@@ -91,3 +91,29 @@ def public_peer(number: str, port: str) -> str:
 
 SEEN = """seen AS (SELECT sighting_id, lower(infohash) AS id, source, coalesce(len(peers), 0) AS n_peers, greatest(coalesce(repeats, 0), 1) AS weight, seen_at,
  coalesce(source IN ('sample_peers', 'get_peers', 'announce'), false) AS hot FROM (SELECT *, row_number() OVER (PARTITION BY sighting_id ORDER BY arrived_at) AS n FROM sightings) WHERE n = 1 AND regexp_full_match(infohash, '[0-9a-fA-F]{40}'))"""
+
+
+def lowered(column: str) -> str:
+    """Lower case with the final sigma and the dotted I as in Unicode's full mapping."""
+    return rf"lower(replace(regexp_replace({column}, '(\p{{L}}\p{{M}}*)Σ($|[^\p{{L}}\p{{M}}])', '\1ς\2', 'g'), 'İ', 'i̇'))"
+
+
+def embeddings(names: str, dim: int) -> str:
+    """``emb(id, v)``: the hashed text embedding of ``names(id, name)``, word by word with 64-bit FNV-1a."""
+    return rf"""ew AS (SELECT id, unnest(regexp_extract_all({lowered("name")}, '[\p{{L}}\p{{N}}]+')) AS word FROM {names}),
+eb AS (SELECT word, hex(encode(word)) AS x FROM (SELECT DISTINCT word FROM ew)),
+eh AS (SELECT word, list_reduce(list_prepend(14695981039346656037::UBIGINT, list_transform(range(0, len(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::UBIGINT)), lambda h, b: ((xor(h, b)::UHUGEINT * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT) AS h FROM eb),
+ec AS (SELECT id, (h % {dim})::INT AS pos, 1.0::DOUBLE AS x FROM ew JOIN eh USING (word) UNION ALL SELECT id, ((h >> 32) % {dim})::INT, CASE WHEN (h >> 63) = 1 THEN -0.5 ELSE 0.5 END FROM ew JOIN eh USING (word)),
+es AS (SELECT id, pos, sum(x) AS x FROM ec GROUP BY id, pos),
+em AS (SELECT id, map_from_entries(list((pos, x))) AS m, sqrt(sum(x * x)) AS n FROM es GROUP BY id),
+emb AS (SELECT n.id, list_transform(range(0, {dim}), lambda i: CASE WHEN em.n > 0 THEN coalesce(em.m[i::INT], 0.0) / em.n ELSE 0.0 END) AS v FROM {names} n LEFT JOIN em ON n.id = em.id)"""
+
+
+def int8(table: str) -> str:
+    """``id, scale, q`` of ``emb``: symmetric int8, halves away from zero."""
+    return f"""SELECT id, (top / 127.0)::FLOAT AS scale, CASE WHEN top > 0 THEN list_transform(v, lambda x: greatest(-127, least(127, sign(x) * floor(abs(x) * 127.0 / top + 0.5)))::INT) ELSE list_transform(v, lambda x: 0) END AS q
+ FROM (SELECT id, v, list_max(list_transform(v, lambda x: abs(x))) AS top FROM {table})"""
+
+
+def dot(column: str, query: list[int]) -> str:
+    return f"list_sum(list_transform(range(1, {len(query) + 1}), lambda i: {column}[i]::BIGINT * {list(query)}[i]::BIGINT))::DOUBLE"

@@ -77,7 +77,7 @@ def _snapshots(s, d):
 
 _add("counter_deltas", lambda s, d: A.counter_deltas(_snapshots(s, d), key="name", order="bucket", value="total"), f"WITH {_SNAP} SELECT name, bucket, total - coalesce(lag(total) OVER (PARTITION BY name ORDER BY bucket), 0) AS delta FROM c")
 _add("counter_merge", lambda s, d: A.merged_counters(_buckets(s, d).groupBy("name").pivot("name", ["sighting", "fetch_ok"]).agg(F.sum("value")), ["sighting", "fetch_ok"]), f"WITH {_LOG} SELECT coalesce(sum(value) FILTER (name = 'sighting'), 0)::BIGINT AS sighting, coalesce(sum(value) FILTER (name = 'fetch_ok'), 0)::BIGINT AS fetch_ok FROM b")
-_add("smoothed_rate", lambda s, d: A.smoothed(_buckets(s, d), key="name", order="bucket", value="value"), None)
+_add("smoothed_rate", lambda s, d: A.smoothed(_buckets(s, d), key="name", order="bucket", value="value"), f"WITH {_LOG} SELECT name, list_reduce(list(value::DOUBLE ORDER BY bucket NULLS FIRST), lambda a, x: a * 0.7::DOUBLE + x * (1 - 0.7::DOUBLE)) AS average FROM b GROUP BY name")
 _add("share_of_total", lambda s, d: table(s, d, "sightings").groupBy(F.coalesce("source", F.lit("none")).alias("source")).agg(F.count("*").alias("n")).withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 3)),
      "SELECT source, n, round(100.0::DOUBLE * n / sum(n) OVER (), 3) AS pct FROM (SELECT coalesce(source, 'none') AS source, count(*) AS n FROM sightings GROUP BY 1)")
 _add("embedding_counts", lambda s, d: A.embedding_counts(table(s, d, "torrent_embeddings")), "SELECT model_id, count(DISTINCT id) AS ids, count(*) AS vectors FROM torrent_embeddings GROUP BY model_id")

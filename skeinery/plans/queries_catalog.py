@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from skeinery.operators import catalog as C
 from skeinery.plans import oracle as O
+from skeinery.plans import stores
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
 def _listing(name: str, where: str, order: str, limit: int, offset: int = 0, **options) -> None:
-    QUERIES[name] = lambda spark, d: C.browse(C.items(spark, d), limit=limit, offset=offset, **options)
+    QUERIES[name] = lambda spark, d: C.browse(stores.items(spark, d), limit=limit, offset=offset, **options)
     ORACLE[name] = f"WITH {O.ITEMS} SELECT {O.SUMMARY} FROM items WHERE fetched AND {where} ORDER BY {order} LIMIT {limit} OFFSET {offset}"
 
 
@@ -42,7 +43,7 @@ ORACLE["items"] = f"WITH {O.ITEMS} SELECT * EXCLUDE (files) FROM items"
 
 def get_with_files(spark, d) -> DataFrame:
     """Point lookups flattened: the record of the largest fetched item with its files in order."""
-    first = C.top_by(C.items(spark, d), "files", 1).first()
+    first = C.top_by(stores.items(spark, d), "files", 1).first()
     found = C.lookup(spark, d, first["id"].upper())
     return found.select("id", "name", F.posexplode("files").alias("ord", "f")).select("id", "name", "ord", F.col("f.path").alias("path"), F.col("f.size").alias("size"))
 
@@ -61,7 +62,7 @@ QUERIES["changes_since"] = lambda spark, d: C.changes_since(C.sequenced(C.items(
 ORACLE["changes_since"] = f"""WITH {O.ITEMS}, s AS (SELECT *, row_number() OVER (ORDER BY first_seen NULLS FIRST, id) AS seq FROM items)
 SELECT seq, id, name, first_seen FROM s WHERE seq > 100 AND fetched ORDER BY seq LIMIT 250"""
 
-QUERIES["oldest_checked"] = lambda spark, d: C.oldest_checked(C.items(spark, d), 200)
+QUERIES["oldest_checked"] = lambda spark, d: C.oldest_checked(stores.items(spark, d), 200)
 ORACLE["oldest_checked"] = f"WITH {O.ITEMS} SELECT id, last_check FROM items WHERE fetched ORDER BY last_check ASC NULLS FIRST, id LIMIT 200"
 
 QUERIES["vectors_page"] = lambda spark, d: C.table(spark, d, "torrent_embeddings").where("seq > 100").orderBy("seq").limit(200).select("seq", "id", "model_id", "dim")

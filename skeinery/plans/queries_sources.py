@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skeinery.operators import analytics as A
 from skeinery.operators import catalog as C
 from skeinery.plans import oracle as O
+from skeinery.plans.queries_analytics import ORACLE as A_SQL
 from skeinery.sources import feeds
 
 _SUMMARIES = f"WITH {O.ITEMS} SELECT id, coalesce(peer_count, -1) AS seeds, last_seen AS pub_date FROM items WHERE fetched"
@@ -29,7 +30,9 @@ QUERIES = {
     "plugin_lines": lambda s, d: C.items(s, d).where("fetched AND name <> ''").select("id", feeds.plugin_line("http://localhost").alias("line")),
     "stats_envelope": lambda s, d: feeds.stats_envelope(A.overview(C.items(s, d))),
 }
+_STATS = ["torrents", "total_size", "files", "peers", "alive", "dead", "unchecked", "known"]
 ORACLE = {
+    "stats_envelope": f"SELECT '{{' || " + " || ',' || ".join(f"'\"{c}\":' || {c}" for c in _STATS) + f" || '}}' AS stats FROM ({A_SQL['overview']})",
     "json_records": f"WITH {O.RECORDS} SELECT id, name, total_size, CASE WHEN files IS NULL THEN 0 ELSE len(files) END AS n_files, seen_count FROM recs",
     "api_projection": _SUMMARIES,
     "plugin_lines": f"WITH {O.ITEMS} SELECT id, concat_ws('|', 'magnet:?xt=urn:btih:' || id || '&dn=' || url_encode(name), replace(name, '|', ' '), total_size::VARCHAR, coalesce(peer_count, -1)::VARCHAR, '-1', 'http://localhost', last_seen::VARCHAR) AS line FROM items WHERE fetched AND name <> ''",

@@ -10,8 +10,9 @@ from skeinery.functions import spell as S
 from skeinery.functions import text as T
 from skeinery.functions import vectors as V
 from skeinery.operators import catalog as C
-from skeinery.operators.fulltext import Index, documents
+from skeinery.operators.fulltext import documents
 from skeinery.plans import oracle as O
+from skeinery.plans import stores
 from skeinery.sources.tables import table
 
 QUERIES: dict = {}
@@ -47,14 +48,14 @@ _add("parse_name", lambda s, d: _names(s, d).select("id", N.parsed(F.col("name")
 _add("doc_text_files", lambda s, d: C.records(s, d).where("name <> ''").select("id", N.document(F.col("name"), T.category(F.col("name"), F.col("files")), F.col("files.path")).alias("text")))
 
 
-def _index(s, d) -> Index:
-    return Index.build(documents(C.items(s, d), C.files(s, d)))
+_index = stores.text_index
 
 
 _add("fts_documents", lambda s, d: documents(C.items(s, d), C.files(s, d)), f"WITH {O.INDEX} SELECT id, name, paths FROM docs")
 _add("fts_vocab", lambda s, d: _index(s, d).vocabulary(), f"WITH {O.INDEX} SELECT term, count(*) AS doc, sum(hits_name + hits_paths)::BIGINT AS cnt FROM postings GROUP BY term")
 _add("spell_vocab", lambda s, d: S.vocabulary_rows(_index(s, d).vocabulary(), 2000), f"WITH {O.INDEX}, v AS (SELECT term, count(*) AS doc FROM postings GROUP BY term) SELECT term, doc FROM v WHERE length(term) >= 4 AND regexp_full_match(term, '\\p{{L}}+') ORDER BY doc DESC, term LIMIT 2000")
-_add("skeleton", lambda s, d: _index(s, d).vocabulary().select("term", T.skeleton(F.col("term")).alias("skeleton")))
+_add("skeleton", lambda s, d: _index(s, d).vocabulary().select("term", T.skeleton(F.col("term")).alias("skeleton")), f"""WITH {O.INDEX}, v AS (SELECT DISTINCT term, lower(term) AS low FROM postings), c AS (SELECT term, list_filter(string_split(low, ''), lambda x, i: i = 1 OR NOT contains('aeiıoöuüy', x)) AS c FROM v)
+SELECT term, array_to_string(list_filter(c, lambda x, i: i = 1 OR x <> c[i - 1]), '') AS skeleton FROM c""")
 
 
 def _misspelt(s, d):
@@ -81,7 +82,7 @@ _add("vector_dequantize", lambda s, d: _vectors(s, d).select("vec_id", F.col("v"
 _add("vector_cosine", lambda s, d: _vectors(s, d).alias("a").join(F.broadcast(_vectors(s, d).where("vec_id = 0").select(F.col("v").alias("w")))).select("vec_id", F.round(V.cosine(F.col("v"), F.col("w")), 6).alias("cosine")), "SELECT a.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) + 1e-9), 6) AS cosine FROM embeddings a, embeddings b WHERE b.vec_id = 0")
 _add("vector_normalize", lambda s, d: _vectors(s, d).select("vec_id", F.round(V.norm(V.l2_normalized(F.col("v"))), 6).alias("norm")), "SELECT vec_id, 1.0::DOUBLE AS norm FROM embeddings")
 _add("expected_success", lambda s, d: C.states(s, d).where("probe_peers >= 0").select("id", F.round(V.expected_success(0.05, F.col("probe_peers")), 9).alias("chance")), f"WITH {O.STATES} SELECT id, round(1 - pow(0.95::DOUBLE, probe_peers), 9) AS chance FROM st WHERE probe_peers >= 0")
-_add("mock_embed", lambda s, d: _names(s, d).select("id", V.embedded(F.col("name"), 64).alias("v")))
+_add("mock_embed", lambda s, d: _names(s, d).select("id", V.embedded(F.col("name"), 64).alias("v")), f"{_NAMES}, {O.embeddings('n', 64)} SELECT id, list_transform(v, lambda x: x::FLOAT) AS v FROM emb")
 
 _NUMBER = "(string_split(ip, '.')[1]::BIGINT * 16777216 + string_split(ip, '.')[2]::BIGINT * 65536 + string_split(ip, '.')[3]::BIGINT * 256 + string_split(ip, '.')[4]::BIGINT)"
 

@@ -10,9 +10,11 @@ from skeinery import schema
 from skeinery.functions import vectors as V
 from skeinery.operators import analytics as A
 from skeinery.operators import catalog as C
+from skeinery.operators import kept
 from skeinery.operators import pipeline as P
 from skeinery.operators import rank as R
 from skeinery.operators import vector_search as VS
+from skeinery.operators.fulltext import Index
 from skeinery.plans.queries_streaming import QUERIES as STREAMS
 from skeinery.session import parts_for
 from skeinery.sources import config, feeds, tables
@@ -114,6 +116,49 @@ def test_vector_search_variants_agree(spark):
     assert VS.quantized_query([0.0, 0.0]) == ([0, 0], 0.0)
 
 
+def test_vector_store(spark, tmp_path):
+    """Mapped blocks and the table form give what the row form gives; ties by write order, also across blocks."""
+    rows = spark.range(2000).select(F.lpad(F.col("id").cast("string"), 40, "0").alias("id"), F.col("id").alias("seq"), F.lit(8).alias("dim"), F.lit(0.01).cast("float").alias("scale"), F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: ((F.xxhash64(F.col("id") % 700, i) % 127).cast("tinyint"))).alias("q")).repartition(5)
+    q = [3, -5, 100, 0, 7, -90, 11, 64]
+    store = VS.VectorStore.write(rows, 8, f"file://{tmp_path}/store", block=300)
+    for k, least in ((40, float("-inf")), (25, 1.0), (5, 1e9)):
+        want = [tuple(r) for r in VS.nearest(rows, q, 0.02, k=k, least=least).collect()]
+        assert [tuple(r) for r in store.nearest(q, 0.02, k=k, least=least).collect()] == want
+        table = VS.VectorStore(spark, 8, blocks=VS.packed(rows, 8, 300))
+        assert [tuple(r) for r in VS.nearest_any(table, q, 0.02, k=k, least=least).collect()] == want
+    assert VS.VectorStore.write(rows.limit(0), 8, f"file://{tmp_path}/none").nearest(q, 0.02, k=3).collect() == []
+    assert len(store.files) >= 5 and VS._local("hdfs://a/b") is None
+    with pytest.raises(ValueError):
+        store.nearest(q[:3], 1.0, k=1)
+
+
+def test_kept_tables_follow_their_sources(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.range(3).write.parquet(f"{folder}/numbers.parquet")
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.read.parquet(f"{folder}/numbers.parquet").withColumn("twice", F.col("id") * 2)
+
+    assert kept.table(spark, folder, "twice", ["numbers"], build).count() == 3
+    assert kept.table(spark, folder, "twice", ["numbers"], build).count() == 3 and len(built) == 1
+    spark.range(4).write.mode("append").parquet(f"{folder}/numbers.parquet")
+    assert kept.table(spark, folder, "twice", ["numbers"], build).count() == 7 and len(built) == 2
+
+
+def test_text_index_prunes_and_matches_many_queries_at_once(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "Harbor Light", "x/y.mkv"), ("b", "harbour", ""), ("c", "moon", "light")], "id string, name string, paths string")
+    index = Index.build(docs).write(str(tmp_path))
+    plan = index.ranked("harbor mo")._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(term,harbor)" in plan and "StringStartsWith(term,mo)" in plan
+    asked = ["zzz", "moon harbor", "light harb", "moo", "", "!"]
+    assert sorted(r["n"] for r in index.matching(asked).collect()) == [2, 3]
+    assert index.matching([]).collect() == [] and index.matching([""]).collect() == []
+    assert {r["id"] for r in index.ranked("harb").collect()} == {"a", "b"}
+    assert [tuple(r) for r in Index.build(docs).ranked("light").orderBy("id").collect()] == [tuple(r) for r in index.ranked("light").orderBy("id").collect()]
+
+
 def test_feeds(spark, tmp_path):
     rows = [{"id": f"{i:040x}", "name": f"n{i}", "total_size": i, "files": [{"path": "a", "size": 1}] if i % 2 else None, "first_seen": 1, "last_seen": 2, "seen_count": 1, "seq": i} for i in range(1, 8)]
     path = tmp_path / "changes.json"
