@@ -11,6 +11,7 @@ words don't contain (control characters, drawing characters, mixed scripts).
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 import uuid
 import zlib
@@ -24,19 +25,25 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skeinery.session import materialize
+
 LOST = "�"
 #: Encodings by which bytes are often read though they are not in them.
 READ_AS = ("latin-1", "cp1252", "cp1251", "cp1250", "cp1253", "cp1254", "cp437", "cp850", "cp866", "koi8-r", "mac-roman", "gbk", "cp932", "cp949", "big5")
 #: Encodings the bytes may be in.
 MEANT_AS = ("utf-8", "cp1251", "cp1250", "cp1252", "cp1253", "cp1254", "koi8-r", "cp866", "gbk", "cp932", "cp949", "euc-jp", "big5")
 
-_SLOTS = 1 << 21
-_WORD = regex.compile(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+#: The table of counts has at least four slots for each distinct sequence, within these bounds (8 MB and 64 MB).
+_LEAST_SLOTS, _MOST_SLOTS = 1 << 21, 1 << 24
+_WORD = re.compile(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+_C1 = re.compile("[\x80-\x9f]")
 _PIECE = regex.compile(r"[^\s/._()\[\]{}]*[^\x00-\x7f](?:[^/._()\[\]{}\x00-\x20])*")
+#: Where a character of several bytes may reach beyond a piece: separators that can be its last byte, blanks beyond ASCII.
+_ACROSS = re.compile(r"[^\x00-\x7f][\[\]_{}]|[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
-def _slot(sequence: str) -> int:
-    return zlib.crc32(sequence.encode("utf-8", "surrogatepass")) % _SLOTS
+def _code(sequence: str) -> int:
+    return zlib.crc32(sequence.encode("utf-8", "surrogatepass"))
 
 
 @lru_cache(maxsize=65_536)
@@ -89,17 +96,17 @@ class Cost:
 
     def _word(self, w: str) -> float:
         low = "^" + w.lower() + "$"
-        counts, cost = self.counts, 0.0
+        counts, last, cost = self.counts, len(self.counts) - 1, 0.0
         for i in range(1, len(low)):
             a, b = low[i - 1], low[i]
             before = low[i - 2] if i > 1 else ""
             if a.isascii() and b.isascii() and before.isascii():
                 continue
-            one, two = counts[_slot(a)], counts[_slot(a + b)]
+            one, two = counts[_code(a) & last], counts[_code(a + b) & last]
             chance = (min(two, one) + 0.3) / (one + 60.0)
             if before:
-                pair = counts[_slot(before + a)]
-                chance = (min(counts[_slot(before + a + b)], pair, two) + 4.0 * chance) / (pair + 4.0)
+                pair = counts[_code(before + a) & last]
+                chance = (min(counts[_code(before + a + b) & last], pair, two) + 4.0 * chance) / (pair + 4.0)
             cost -= math.log(chance)
         cost += sum(_charge(c) for c in w)
         scripts = [s for s in map(_script, w) if s]
@@ -107,37 +114,51 @@ class Cost:
         cost += 1.5 * sum(x.islower() and y.isupper() and not y.isascii() for x, y in zip(w, w[1:]))
         return cost
 
-    def __call__(self, text: str) -> float:
-        return sum(map(self.word, words_of(text)))
+    def __call__(self, text: str, limit: float = math.inf) -> float:
+        """The cost of ``text``, or infinity as soon as it is known to reach ``limit``."""
+        if limit < math.inf and 6.0 * len(_C1.findall(text)) >= limit:  # what they are charged by themselves
+            return math.inf
+        total = 0.0
+        for w in words_of(text):
+            total += self.word(w)
+            if total >= limit:
+                return math.inf
+        return total
+
+
+@lru_cache(maxsize=64)
+def _single_byte(encoding: str) -> dict[int, int] | None:
+    """Byte of each character of a single-byte encoding, C1 controls for the bytes it leaves undefined; None for others."""
+    if encoding in ("gbk", "cp932", "cp949", "big5"):
+        return None
+    table = {c: c for c in range(0x80, 0xA0)}
+    for byte in range(256):
+        try:
+            table[ord(bytes([byte]).decode(encoding))] = byte
+        except UnicodeDecodeError:
+            pass
+    return table
 
 
 def _encoded(text: str, encoding: str) -> bytes | None:
     """Bytes that ``encoding`` reads as ``text``; bytes it leaves undefined read as C1 controls."""
+    table = _single_byte(encoding)
     try:
-        return text.encode(encoding)
-    except UnicodeEncodeError:
-        if encoding in ("gbk", "cp932", "cp949", "big5"):
-            return None
-    out = bytearray()
-    for c in text:
-        try:
-            out += c.encode(encoding)
-        except UnicodeEncodeError:
-            if not 0x80 <= ord(c) <= 0x9F:
-                return None
-            out.append(ord(c))
-    return bytes(out)
+        return text.encode(encoding) if table is None else bytes([table[ord(c)] for c in text])
+    except (UnicodeEncodeError, KeyError):
+        return None
 
 
 class Repairer:
     """Round-trip repair of strings.
 
     ``margin`` is the drop of cost that counts as clear.  Text that decodes
-    strictly as UTF-8 is hardly ever so by chance, so ``utf8_margin`` is lower.
+    strictly as UTF-8 is hardly ever so by chance, so ``utf8_margin`` is lower,
+    and such a reading is replaced only by one that is cheaper by ``lead``.
     """
 
-    def __init__(self, cost: Cost, margin: float = 1.5, utf8_margin: float = 0.5, layers: int = 3):
-        self.cost, self.margin, self.utf8_margin, self.layers = cost, margin, utf8_margin, layers
+    def __init__(self, cost: Cost, margin: float = 1.5, utf8_margin: float = 0.5, lead: float = 4.0, layers: int = 3):
+        self.cost, self.margin, self.utf8_margin, self.lead, self.layers = cost, margin, utf8_margin, lead, layers
         self.piece = lru_cache(maxsize=100_000)(self._piece)
         self.whole = lru_cache(maxsize=20_000)(self._whole)
 
@@ -160,7 +181,7 @@ class Repairer:
                 tried.add(other)
                 if right == "utf-8":
                     utf8.append(other)
-                if (c := self.cost(other)) < least:
+                if (c := self.cost(other, least)) < least:
                     best, least, meant = other, c, right
         return best, meant, utf8
 
@@ -169,17 +190,19 @@ class Repairer:
         best, least, margin = text, start, self.margin
         frontier = [(text, self.margin)]
         for _ in range(self.layers):
-            then: list[tuple[str, float]] = []
+            then: list[tuple[str, float, bool]] = []
             for now, need in frontier:
                 better, meant, utf8 = self._step(now)
-                if meant:
-                    then.append((better, self.utf8_margin if meant == "utf-8" else need))
                 # a strict reading as UTF-8 is worth a second look though it seems no better by itself
-                then += [(s, self.utf8_margin) for s in utf8 if s != better]
-            for s, need in then:
-                if (c := self.cost(s)) < least:
+                then += [(s, self.utf8_margin, True) for s in utf8]
+                if meant and meant != "utf-8":
+                    then.append((better, need, False))
+            for s, need, strict in sorted(then, key=lambda x: not x[2]):
+                # what was read strictly as UTF-8 gives way to another reading only for a clear gain
+                bar = least if strict or margin == self.margin else least - self.lead
+                if (c := self.cost(s, bar)) < bar:
                     best, least, margin = s, c, need
-            frontier = [(s, need) for s, need in then if not s.isascii()]
+            frontier = [(s, need) for s, need, _ in then if not s.isascii()]
             if not frontier:
                 break
         drop = start - least
@@ -189,6 +212,8 @@ class Repairer:
         """One path component: as a whole, or word by word, whichever is less garbled."""
         if text.isascii():
             return text
+        if len(_PIECE.findall(text)) == 1 and not _ACROSS.search(text):  # the rest is ASCII and costs nothing
+            return _PIECE.sub(lambda m: self.piece(m.group()), text)
         whole = self.piece(text)
         parts = _PIECE.sub(lambda m: self.piece(m.group()), text)
         return whole if self.cost(whole) <= self.cost(parts) else parts
@@ -213,11 +238,9 @@ def _count_sequences(most: int = 500_000):
         held: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            slots: Counter = Counter()
-            for sequence, n in held.items():
-                slots[_slot(sequence)] += n
+            batch = pa.RecordBatch.from_arrays([pa.array(list(map(_code, held)), pa.int64()), pa.array(list(held.values()), pa.int64())], names=["code", "n"])
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(slots), pa.int32()), pa.array(list(slots.values()), pa.int64())], names=["slot", "n"])
+            return batch
 
         for batch in batches:
             for strings in batch.column(0).to_pylist():
@@ -230,10 +253,16 @@ def _count_sequences(most: int = 500_000):
 
 
 def sequence_table(records: DataFrame, strings: str) -> np.ndarray:
-    """Sequence counts over all records, in a table of fixed size (8 MB) by hash."""
+    """Sequence counts over all records, in a table by hash whose size (a power of two) follows the distinct sequences.
+
+    Beyond four million distinct sequences the table stays at 64 MB and
+    unrelated ones begin to share a slot, rare ones mostly.
+    """
     fed = records.select(F.filter(strings, lambda s: s.rlike(r"[^\x00-\x7F]")).alias("s")).where(F.size("s") > 0)
-    got = fed.mapInArrow(_count_sequences(), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(_SLOTS, np.float32)
+    counted = materialize(fed.mapInArrow(_count_sequences(), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")), "sequences")
+    slots = min(_MOST_SLOTS, max(_LEAST_SLOTS, 1 << (4 * counted.count() - 1).bit_length()))
+    got = counted.groupBy(F.col("code").bitwiseAND(slots - 1).alias("slot")).agg(F.sum("n").alias("n")).toArrow()  # at most ``slots`` rows
+    table = np.zeros(slots, np.float32)
     table[got["slot"].to_numpy()] = got["n"].to_numpy()
     return table
 
@@ -247,7 +276,7 @@ def garbled_strings(records: DataFrame, *, key: str, strings: str, margin: float
     a key give one row for each distinct string; an empty table gives no row.
     Strings are taken whole, whatever their length.
 
-    Two narrow passes: counting (fixed-size table) and repair (cached by
+    Two narrow passes: counting (a table of bounded size) and repair (cached by
     string in each worker); only the found strings are shuffled.
     """
     spark = records.sparkSession
