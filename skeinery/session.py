@@ -31,8 +31,8 @@ def build_session(app: str = "skeinery", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a temporary
-    folder of this machine stands in for it.
+    Only where that setting is absent and the master is local (tests on one
+    machine) a temporary folder of this machine stands in for it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -41,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="skeinery-")
     sc.setCheckpointDir(own)
     return f"file://{own}"
@@ -66,16 +68,28 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Remove a table that ``materialize`` wrote, once nothing will read it again."""
+    path = getattr(df, "_written_to", None)
+    if path:
+        _remove(df.sparkSession, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _remove(spark, path)
         except Exception:  # the JVM is gone; the folder belongs to the cluster
             return
 
@@ -95,7 +109,7 @@ def parts_for(df: DataFrame, bytes_each: int, least: int | None = None) -> int:
     """How many partitions hold ``df`` at about ``bytes_each`` of its source files."""
     spark = df.sparkSession
     least = least if least is not None else spark.sparkContext.defaultParallelism
-    return int(min(200_000, max(1, least, -(-estimated_bytes(df) // bytes_each))))
+    return int(min(1_000_000, max(1, least, -(-estimated_bytes(df) // bytes_each))))
 
 
 _shipped: set[str] = set()
