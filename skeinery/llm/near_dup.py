@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinery.session import materialize, parts_for
+from skeinery.session import materialize, release
 
 _TERM = regex.compile(r"[\p{L}\p{N}]+")
 BITS = 256
@@ -59,40 +59,89 @@ def _hash_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["id", "runs"])
 
 
-def fingerprint(runs: np.ndarray) -> np.ndarray:
-    """Parities of ``BITS`` positions as four words."""
-    odd = np.bincount((runs.view(np.uint64) >> np.uint64(17)).astype(np.int64) & (BITS - 1), minlength=BITS) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+def fingerprints(owner: np.ndarray, runs: np.ndarray, n: int) -> np.ndarray:
+    """Parities of ``BITS`` positions as four words for each of ``n`` owners of ``runs``."""
+    at = owner * BITS + ((runs.view(np.uint64) >> np.uint64(17)).astype(np.int64) & (BITS - 1))
+    odd = (np.bincount(at, minlength=n * BITS) & 1).astype(np.uint8).reshape(n, BITS)
+    return np.packbits(odd, axis=1, bitorder="little").view(np.uint64)
 
 
-def _prefixes(share: float, hot_runs: np.ndarray, hot_counts: np.ndarray, tile: int):
-    """For each class its fingerprint at each of the runs where similar classes must meet it."""
+def _looked_up(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Count of each of ``wanted`` among the sorted ``keys``, 0 where it isn't one."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, counts[at], 0)
 
+
+def _steps(times: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each of ``times``, one after another."""
+    return np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+
+
+def _meeting_keys(batch: pa.RecordBatch, share: float, hot_runs: np.ndarray, hot_counts: np.ndarray, most: int):
+    """Where the classes of a batch (c, runs) must meet what is similar to them: (row, key, is a pair) and the fingerprints.
+
+    A class meets others at the runs of its prefix, rare runs first.  A run of
+    more than ``most`` classes would bring together too many, so there the key
+    is the run with a later one of a prefix longer by one: similar sets of two
+    runs or more in common share two in such prefixes.
+    """
+    offsets = batch.column(1).offsets.to_numpy().astype(np.int64)
+    runs = batch.column(1).values.to_numpy()[offsets[0] : offsets[-1]]
+    n = np.diff(offsets)
+    owner = np.repeat(np.arange(len(n)), n)
+    count = _looked_up(hot_runs, hot_counts, runs)
+    order = np.lexsort((runs, count, owner))
+    run, count, rank = runs[order], count[order], _steps(n)
+    need = np.ceil(share * n - 1e-9).astype(np.int64)
+    first = n - need + 1
+    inside = rank < first[owner]
+    crowded = inside & (count > most)
+    single = np.flatnonzero(inside & (~crowded | (need[owner] < 2)))
+    at = np.flatnonzero(crowded)
+    times = np.minimum(first[owner[at]], n[owner[at]] - 1) - rank[at]
+    left = np.repeat(at, times)
+    right = left + 1 + _steps(times)
+    mixed = (run[left].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (run[right].view(np.uint64) >> np.uint64(7)) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+    rows = np.r_[owner[single], owner[left]]
+    return rows, np.r_[run[single], mixed], np.arange(len(rows)) >= len(single), n, fingerprints(owner, runs, len(n))
+
+
+def _pair_keys(share: float, hot_runs: np.ndarray, hot_counts: np.ndarray, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            offsets = batch.column(1).offsets.to_numpy()
-            values = batch.column(1).values.to_numpy()
-            for c, lo, hi in zip(batch.column(0).to_pylist(), offsets, offsets[1:]):
-                runs = values[lo:hi]
-                n = len(runs)
-                at = np.searchsorted(hot_runs, runs)
-                at[at == len(hot_runs)] = 0
-                count = np.where(hot_runs[at] == runs, hot_counts[at], 0) if len(hot_runs) else np.zeros(n, np.int64)
-                first = n - int(np.ceil(share * n - 1e-9)) + 1
-                print_ = fingerprint(runs).tobytes()
-                for i in np.lexsort((runs, count))[:first]:
-                    parts = -(-int(count[i]) // tile) if count[i] > tile else 1
-                    mine = (c * 0x9E3779B1 >> 7) % parts
-                    for other in range(parts):
-                        row = (int(runs[i]), min(mine, other) * parts + max(mine, other), 0 if mine == other else 1 if mine < other else 2, c, n, print_)
-                        for column, v in zip(out, row):
-                            column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=["run", "tile", "side", "c", "n", "p"])
+            _, key, pair, _, _ = _meeting_keys(batch, share, hot_runs, hot_counts, most)
+            yield pa.RecordBatch.from_arrays([pa.array(key[pair])], names=["key"])
 
     return run
 
 
+def _prefixes(share: float, hot_runs: np.ndarray, hot_counts: np.ndarray, most: int, heavy: np.ndarray, heavy_counts: np.ndarray):
+    """For each class its fingerprint at each of its keys; a key of more than ``most`` classes is spread over a grid of tiles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, key, _, n, prints = _meeting_keys(batch, share, hot_runs, hot_counts, most)
+            c = batch.column(0).to_numpy()
+            parts = np.maximum(1, -(-_looked_up(heavy, heavy_counts, key) // most))
+            mine = ((c[row].view(np.uint64) * np.uint64(0x9E3779B1)) >> np.uint64(7)).astype(np.int64) % parts
+            row, key, mine, parts, other = np.repeat(row, parts), np.repeat(key, parts), np.repeat(mine, parts), np.repeat(parts, parts), _steps(parts)
+            side = np.where(mine == other, 0, np.where(mine < other, 1, 2)).astype(np.int32)
+            tile = np.minimum(mine, other) * parts + np.maximum(mine, other)
+            for start in range(0, len(row), 50_000):
+                s = slice(start, start + 50_000)
+                p = np.ascontiguousarray(prints[row[s]])
+                yield pa.RecordBatch.from_arrays([pa.array(key[s]), pa.array(tile[s]), pa.array(side[s]), pa.array(c[row[s]]), pa.array(n[row[s]].astype(np.int32)), _binaries(p)], names=["run", "tile", "side", "c", "n", "p"])
+
+    return run
+
+
+def _binaries(rows: np.ndarray) -> pa.Array:
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * (BITS // 8)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows)])
+
+
 def _add(counter: list[np.ndarray], bit: np.ndarray) -> None:
     """Carry-save increment of bit-sliced counters by one plane."""
     for i, c in enumerate(counter):
@@ -156,7 +205,7 @@ def _sliced_distances(planes: np.ndarray, bits: np.ndarray, q: np.ndarray, b: np
 
 
 def bit_sliced_pairs(group: np.ndarray, side: np.ndarray, size: np.ndarray, prints: np.ndarray, share: float, each: int = 60_000) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i < j) of equal ``group`` within the radius; rows come sorted by group.
+    """Index pairs (i < j) of equal ``group`` within the radius; rows come sorted by group and size.
 
     ``side`` 1 and 2 mark the two halves of a tile, compared only with each
     other; side 0 is compared with itself.  ``each`` comparisons of a query
@@ -167,7 +216,8 @@ def bit_sliced_pairs(group: np.ndarray, side: np.ndarray, size: np.ndarray, prin
     bits = np.zeros((words * 64, BITS), np.uint8)
     bits[:n] = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1, bitorder="little")
     planes = np.packbits(bits.reshape(words, 64, BITS), axis=1, bitorder="little").transpose(0, 2, 1).copy().view(np.uint64)[:, :, 0].T.copy()
-    last = np.searchsorted(group, group, side="right") - 1
+    widest = int(size.max(initial=1)) + 1  # rows come by size inside a group: what is too large for a query lies behind its last
+    last = np.searchsorted(group * widest + size, group * widest + np.minimum(np.floor(size / share + 1e-9).astype(np.int64), widest - 1), side="right") - 1
     factor = (1 - share) / (1 + share)
     radius = np.floor(factor * (size + np.floor(size / share + 1e-9)) + 1e-9).astype(np.int64)  # no larger set is similar
     query = np.flatnonzero(last > np.arange(n))
@@ -216,21 +266,34 @@ class Records:
     def __init__(self, records: DataFrame, *, key: str, strings: str, share: float = 0.7, most_hot: int = 1_000_000, least_hot: int = 20, tile: int = 16_384, rows_each: int = 20_000):
         """``strings`` is an array column; null arrays and null, empty or
         term-less strings add nothing, and a record without any run is similar
-        to none.  Keys come out as strings, null keys are left out.  Repeated rows of a key are one
-        record; should their strings differ, the least run set counts.
+        to none.  Keys come out as strings, null keys are left out.  Repeated
+        rows of a key are one record; should their strings differ, one row
+        with a run counts, that of the least hash.
+
+        A run is hot from ``least_hot`` classes on, or more where that many
+        runs would be more than ``most_hot``; a key at which more than ``tile``
+        classes meet is spread over tiles; ``rows_each`` rows go to a group.
         """
         runs = records.select(F.col(key).cast("string").alias("id"), F.col(strings).alias("s")).where("id is not null").mapInArrow(_hash_runs, "id string, runs array<bigint>")
-        one = runs.groupBy("id").agg(F.min("runs").alias("runs"))
-        self.records = materialize(one.withColumn("c", F.xxhash64("runs")), "dup-records")
-        self.members = self.records.select("id", F.when(F.size("runs") > 0, F.col("c")).alias("c"))
-        classes = self.records.where(F.size("runs") > 0).groupBy("c").agg(F.count("*").alias("members"), F.min("id").alias("first"), F.min("runs").alias("runs"))
-        self.classes = materialize(classes, "dup-classes")
+        rows = materialize(runs.withColumn("c", F.xxhash64("runs")), "dup-rows")
+        self.members = materialize(rows.groupBy("id").agg(F.min(F.struct((F.size("runs") == 0).alias("none"), "c")).alias("k")).select("id", F.when(~F.col("k.none"), F.col("k.c")).alias("c")), "dup-members")
+        self.classes = materialize(rows.where(F.size("runs") > 0).groupBy("c").agg(F.min("runs").alias("runs")), "dup-classes")
+        release(rows)
         counted = self.classes.select(F.explode("runs").alias("run")).groupBy("run").count()
-        total = self.classes.agg(F.sum(F.size("runs")).alias("n")).first()["n"] or 0
+        n = F.size("runs")
+        sums = self.classes.agg(F.sum(n).alias("runs"), F.sum(n - F.ceil(n * share - 1e-9) + 1).alias("rows")).first()
+        total, emitted = sums["runs"] or 0, sums["rows"] or 0
         least = max(least_hot, -(-total // most_hot))  # at most ``most_hot`` runs occur that often
-        hot = counted.where(F.col("count") > least).toArrow().sort_by("run")
-        prefixes = self.classes.select("c", "runs").mapInArrow(_prefixes(share, hot["run"].to_numpy(), hot["count"].to_numpy(), tile), "run bigint, tile bigint, side int, c bigint, n int, p binary")
-        groups = max(1, total // (3 * rows_each))
+        got = counted.where(F.col("count") > least).toArrow().sort_by("run")
+        hot = (got["run"].to_numpy(), got["count"].to_numpy())
+        heavy = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        if len(hot[1]) and hot[1].max() > tile:  # how many classes the pairs of very hot runs bring together
+            keys = materialize(self.classes.select("c", "runs").mapInArrow(_pair_keys(share, *hot, tile), "key bigint").groupBy("key").count(), "dup-keys")
+            got = keys.where(F.col("count") > tile).toArrow().sort_by("key")  # fewer than rows / tile
+            heavy = (got["key"].to_numpy(), got["count"].to_numpy())
+            emitted += keys.agg(F.sum(F.col("count") * F.ceil(F.col("count") / tile))).first()[0] or 0
+        prefixes = self.classes.select("c", "runs").mapInArrow(_prefixes(share, *hot, tile, *heavy), "run bigint, tile bigint, side int, c bigint, n int, p binary")
+        groups = max(1, emitted // rows_each)
         grouped = prefixes.groupBy(F.pmod(F.xxhash64("run", "tile"), F.lit(groups)).alias("g"))
         candidates = grouped.applyInArrow(_compare(share), "a bigint, b bigint").distinct()
         sets = self.classes.select("c", "runs")
@@ -251,7 +314,7 @@ class Records:
     def groups(self) -> DataFrame:
         """``id, group_id, links`` of every record: the least id of its connected
         group and the number of records similar to it."""
-        size = self.classes.select("c", "members", "first")
+        size = self.members.where("c is not null").groupBy("c").agg(F.count("*").alias("members"), F.min("id").alias("first"))
         ends = self.pairs.unionByName(self.pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = ends.join(size.select(F.col("c").alias("b"), "members"), "b").groupBy("a").agg(F.sum("members").alias("near"))
         label = components(self.pairs)

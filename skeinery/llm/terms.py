@@ -10,6 +10,7 @@ matching subtrees meet in one group and are merged.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -90,6 +91,29 @@ def _boxes(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _BOX_TYPES)], names=["prefix", "suffixes", "occ", "rec"])
 
 
+def _shared_out(shares: dict[str, int]):
+    """Containers of the prefixes in ``shares`` divided by a hash of the suffix; adds ``share``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            of: list[int] = []
+            for prefix, text, occ, rec in zip(*(c.to_pylist() for c in batch.columns)):
+                n = shares.get(prefix, 1)
+                if n == 1:
+                    rows.append((prefix, text, occ, rec))
+                    of.append(0)
+                    continue
+                boxes: dict[int, dict[str, list[int]]] = {}
+                for suffix, o, r in _unpacked(text, occ, rec):
+                    boxes.setdefault(zlib.crc32(suffix.encode("utf-8", "surrogatepass")) % n, {})[suffix] = [o, r]
+                rows += [_packed(prefix, b) for b in boxes.values()]
+                of += boxes
+            yield pa.RecordBatch.from_arrays([*_boxes(rows).columns, pa.array(of, pa.int32())], names=["prefix", "suffixes", "occ", "rec", "share"])
+
+    return run
+
+
 def _count(burst: int, most_terms: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = BurstTrie(burst)
@@ -137,7 +161,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     box: dict[str, list[int]] = {}
     prefix = ""
     for batch in batches:
-        for prefix, text, occ, rec in zip(*(c.to_pylist() for c in batch.columns)):
+        for prefix, text, occ, rec in zip(*(c.to_pylist() for c in batch.columns[:4])):
             for suffix, o, r in _unpacked(text, occ, rec):
                 held = box.get(suffix)
                 if held is None:
@@ -151,28 +175,30 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([(prefix + s)[:-1] for s, _ in part], pa.string()), pa.array([c[0] for _, c in part], pa.int64()), pa.array([c[1] for _, c in part], pa.int64())], names=["term", "occurrences", "records"])
 
 
-def term_counts(records: DataFrame, *, text: str, burst: int = 2048, most_terms: int = 400_000, most_routes: int = 200_000) -> DataFrame:
+def term_counts(records: DataFrame, *, text: str, burst: int = 2048, most_terms: int = 400_000, most_routes: int = 200_000, group_terms: int = 500_000) -> DataFrame:
     """``term, occurrences, records`` of every distinct term of the texts, one row of input being one record.
 
     Null and empty texts hold no term; repeated rows are records of their own;
     an empty table gives no row.  Each worker holds at most ``most_terms``
-    terms before it hands its trie on; the routing table has at most
-    ``most_routes`` prefixes (deeper burst points are then left out, which
-    makes groups larger but changes no result).  A term found everywhere
-    arrives once from each worker, so hot terms don't skew the merge.
+    terms before it hands its trie on.  The routing table has at most
+    ``most_routes`` burst points, those with most terms below them first; more
+    would make groups smaller but change no result.  A group of more than
+    ``group_terms`` terms, counted once for each worker that saw them, is
+    divided by hash, so the merge too holds a bounded number whatever the
+    prefixes.  A term found everywhere arrives once from each worker, so hot
+    terms don't skew the merge.
     """
     fed = records.select(F.col(text).alias("t")).where(F.col("t").isNotNull() & (F.col("t") != ""))
     boxes = materialize(fed.mapInArrow(_count(burst, most_terms), _BOX), "term-boxes")
-    depth = 1
-    routes: set[str] = set()
-    while True:  # burst points by depth, as long as they fit the bound
-        layer = [r[0] for r in boxes.where(F.char_length("prefix") >= depth).select(F.substring("prefix", 1, depth - 1)).distinct().limit(most_routes - len(routes) + 1).collect()] if depth > 1 else ([""] if boxes.where("prefix <> ''").limit(1).count() else [])
-        if not layer or len(routes) + len(layer) > most_routes:
-            break
-        routes.update(layer)
-        depth += 1
-    aligned = boxes.mapInArrow(_align(frozenset(routes)), _BOX)
-    return aligned.groupBy("prefix").applyInArrow(_merge, "term string, occurrences bigint, records bigint")
+    held = F.expr("octet_length(occ) div 8").alias("n")
+    above = F.transform(F.sequence(F.lit(0), F.char_length("prefix") - 1), lambda i: F.substring("prefix", F.lit(1), i))
+    inner = boxes.where("prefix <> ''").select(F.explode(above).alias("p"), held).groupBy("p").agg(F.sum("n").alias("n"))
+    # a prefix has no fewer terms than any longer one, so the first of this order are closed under shortening
+    routes = frozenset(r["p"] for r in inner.orderBy(F.desc("n"), F.char_length("p"), "p").limit(most_routes).select("p").collect())
+    aligned = materialize(boxes.mapInArrow(_align(routes), _BOX), "term-aligned")
+    large = aligned.select("prefix", held).groupBy("prefix").agg(F.sum("n").alias("n")).where(F.col("n") > group_terms).collect()  # at most all / group_terms
+    shared = aligned.mapInArrow(_shared_out({r["prefix"]: -(-r["n"] // group_terms) for r in large}), _BOX + ", share int")
+    return shared.groupBy("prefix", "share").applyInArrow(_merge, "term string, occurrences bigint, records bigint")
 
 
 def marked_terms(records: DataFrame, *, text: str, fewest: int = 3, most_share: float = 0.05) -> DataFrame:

@@ -25,8 +25,8 @@ def test_burst_trie_counts():
     assert got == {w: [2 * n, n] for w, n in Counter(words).items()}
 
 
-@pytest.mark.parametrize(("burst", "routes", "most"), [(2048, 200_000, 400_000), (4, 200_000, 50), (3, 10, 30)])
-def test_term_counts(spark, burst, routes, most):
+@pytest.mark.parametrize(("burst", "routes", "most", "group"), [(2048, 200_000, 400_000, 500_000), (4, 200_000, 50, 500_000), (3, 10, 30, 7), (2048, 0, 50, 3)])
+def test_term_counts(spark, burst, routes, most, group):
     rng = random.Random(burst)
     words = ["harbor", "Glass", "ÉTÉ", "x264", "漢字", "a", "ab", "abc", "İZ", "Σίσυφος ΟΔΟΣ", "ⅷ", "one_two", "1.5"]
     names = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 6))) for _ in range(300)] + [None, "", "  ", "harbor " * 5000]
@@ -36,7 +36,7 @@ def test_term_counts(spark, burst, routes, most):
         found = terms.terms_of(n or "")
         occurrences.update(found)
         records.update(set(found))
-    got = {r["term"]: (r["occurrences"], r["records"]) for r in terms.term_counts(df, text="name", burst=burst, most_routes=routes, most_terms=most).collect()}
+    got = {r["term"]: (r["occurrences"], r["records"]) for r in terms.term_counts(df, text="name", burst=burst, most_routes=routes, most_terms=most, group_terms=group).collect()}
     assert got == {t: (occurrences[t], records[t]) for t in occurrences}
     marks = {r["term"]: r["mark"] for r in terms.marked_terms(df, text="name").collect()}
     whole = sum(1 for n in names if n)
@@ -112,7 +112,7 @@ def jaccard_pairs(records, share):
     return {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= share * len(sets[a] | sets[b]) - 1e-9}
 
 
-@pytest.mark.parametrize("options", [{}, {"least_hot": 1, "most_hot": 10, "tile": 16, "rows_each": 200}])
+@pytest.mark.parametrize("options", [{}, {"least_hot": 1, "most_hot": 10, "tile": 16, "rows_each": 200}, {"least_hot": 1, "most_hot": 1000, "tile": 2, "rows_each": 50}])
 def test_near_duplicates(spark, options):
     rng = random.Random(8)
     vocabulary = [f"w{i}" for i in range(400)]
@@ -157,6 +157,7 @@ def test_bit_sliced_distances():
     prints = rng.integers(0, 2**63, (n, 4)).astype(np.uint64)
     prints[50:200] = prints[0] ^ (np.uint64(1) << rng.integers(0, 20, (150, 4)).astype(np.uint64))
     group = np.sort(rng.integers(0, 4, n))
+    size = size[np.lexsort((size, group))]
     i, j = near_dup.bit_sliced_pairs(group, np.zeros(n, np.int32), size, prints, 0.7, each=37)
     d = np.bitwise_count(prints[:, None] ^ prints[None]).sum(2)
     want = {(a, b) for a in range(n) for b in range(a + 1, n) if group[a] == group[b] and d[a, b] <= (0.3 / 1.7) * (size[a] + size[b]) + 1e-9 and min(size[a], size[b]) >= 0.7 * max(size[a], size[b]) - 1e-9}
