@@ -84,16 +84,53 @@ def _points(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _anchor_blobs(length: int, buckets: int, chars_each: int = 1_500_000):
-    """Map side: anchors of many texts as one packed row for each bucket; copies met in one task count once."""
+class _Crowds:
+    """Windows of which one task has seen many, by a small table of counts.
+
+    The first ``few`` anchors of a window and those of as many more documents
+    go the usual way; after that its anchors are told apart (``sure``).  Two
+    windows that share a slot may be taken for a crowd together: that costs
+    work, as every anchor is compared exactly in the end, and changes nothing.
+    """
+
+    def __init__(self, few: int, slots: int = 1 << 20):
+        self.few, self.last = few, np.int64(slots - 1)
+        self.anchors, self.docs = np.zeros(slots, np.int64), np.zeros(slots, np.int64)
+        self.told: set[int] = set()
+
+    def sure(self, h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the anchors are of a crowd, and the hashes that became one just now."""
+        slot = h.astype(np.int64) & self.last
+        crowd = self.docs[slot] > self.few
+        self.anchors += np.bincount(slot, minlength=len(self.anchors))
+        many = self.anchors[slot] > self.few
+        pairs = np.unique(np.stack([owner[many], slot[many]]), axis=1)[1]
+        self.docs += np.bincount(pairs, minlength=len(self.docs))
+        fresh = set(np.unique(h[crowd]).tolist()) - self.told
+        self.told |= fresh
+        return crowd, np.array(sorted(fresh), np.uint64)
+
+
+_SURE, _MARK = 1, 2
+_CROWD = np.int64(1) << np.int64(60)
+
+
+def _anchor_blobs(length: int, buckets: int, few: int, chars_each: int = 1_500_000):
+    """Map side: anchors of many texts as one packed row for each bucket; copies met in one task count once.
+
+    A window met in very many documents of one task is surely shared: a mark
+    goes to its bucket, and its further anchors go, flagged, to buckets chosen
+    by document, so that no bucket gets more than a bounded number from a task.
+    """
     period, residues = difference_cover(int(0.7 * length))
     width = length - period + 1
-    names = ["bucket", "doc", "n", "h_low", "h_high", "p_low", "p_high"]
+    names = ["bucket", "kind", "doc", "n", "h_low", "h_high", "p_low", "p_high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = _Rolling()
         cover = np.zeros(0, np.int64)
         known: set[int] = set()
+        crowds = _Crowds(few)
 
         def flush(keys: list[int], texts: list[str]):
             nonlocal cover
@@ -107,19 +144,24 @@ def _anchor_blobs(length: int, buckets: int, chars_each: int = 1_500_000):
             at = np.concatenate([cover[:c] for c in counts])
             owner = np.repeat(np.arange(len(keys)), counts)
             h = rolling.windows(prefix, at + starts[owner], width) >> np.uint64(16)
-            bucket = (h % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            h, at, owner, bucket = h[order], at[order], owner[order], bucket[order]
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
             ids = np.array(keys, np.int64)
+            crowd, marks = crowds.sure(h, owner)
+            bucket = np.where(crowd, (_mix(ids.view(np.uint64)) % np.uint64(buckets))[owner], h % np.uint64(buckets)).astype(np.int64)
+            kind = np.where(crowd, _SURE, 0)
+            if len(marks):  # a mark is a row without a place
+                h, at, owner = np.r_[h, marks], np.r_[at, np.zeros(len(marks), np.int64)], np.r_[owner, np.zeros(len(marks), np.int64)]
+                bucket, kind = np.r_[bucket, (marks % np.uint64(buckets)).astype(np.int64)], np.r_[kind, np.full(len(marks), _MARK)]
+            order = np.lexsort((kind, bucket)) if kind.any() else np.argsort(bucket, kind="stable")
+            h, at, owner, bucket, kind = h[order], at[order], owner[order], bucket[order], kind[order]
+            cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (kind[1:] != kind[:-1])) + 1
             rows = []
             for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(bucket)]):
                 o = owner[lo:hi]
                 first = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
                 n = np.diff(np.r_[first, len(o)]).astype(np.uint32)
                 x, p = h[lo:hi], at[lo:hi]
-                rows.append((int(bucket[lo]), ids[o[first]].tobytes(), n.tobytes(), x.astype(np.uint32).tobytes(), (x >> np.uint64(32)).astype(np.uint16).tobytes(), p.astype(np.uint16).tobytes(), (p >> 16).astype(np.uint16).tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows))], names=names)
+                rows.append((int(bucket[lo]), int(kind[lo]), ids[o[first]].tobytes(), n.tobytes(), x.astype(np.uint32).tobytes(), (x >> np.uint64(32)).astype(np.uint16).tobytes(), p.astype(np.uint16).tobytes(), (p >> 16).astype(np.uint16).tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 2 else pa.binary()) for i, c in enumerate(zip(*rows))], names=names)
 
         for batch in batches:
             keys: list[int] = []
@@ -143,14 +185,26 @@ def _anchor_blobs(length: int, buckets: int, chars_each: int = 1_500_000):
 
 
 def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reduce side: the anchors of one bucket (a partition) whose window occurs in two documents or more."""
-    doc, h, pos = [], [], []
+    """Reduce side: the anchors of one bucket (a partition) whose window occurs in two documents or more.
+
+    ``members`` is their number, or ``_CROWD`` where a mark says that there are more elsewhere.
+    """
+    doc, h, pos, marks = [], [], [], []
     for batch in batches:
         cols = [c.to_pylist() for c in batch.columns[1:]]
-        for d, n, hl, hh, pl, ph in zip(*cols):
-            doc.append(np.repeat(np.frombuffer(d, np.int64), np.frombuffer(n, np.uint32)))
-            h.append(np.frombuffer(hl, np.uint32).astype(np.int64) | np.frombuffer(hh, np.uint16).astype(np.int64) << 32)
-            pos.append(np.frombuffer(pl, np.uint16).astype(np.int32) | np.frombuffer(ph, np.uint16).astype(np.int32) << 16)
+        for kind, d, n, hl, hh, pl, ph in zip(*cols):
+            hash_ = np.frombuffer(hl, np.uint32).astype(np.int64) | np.frombuffer(hh, np.uint16).astype(np.int64) << 32
+            if kind == _MARK:
+                marks.append(hash_)
+                continue
+            doc_ = np.repeat(np.frombuffer(d, np.int64), np.frombuffer(n, np.uint32))
+            pos_ = np.frombuffer(pl, np.uint16).astype(np.int32) | np.frombuffer(ph, np.uint16).astype(np.int32) << 16
+            if kind == _SURE:
+                yield from pa.table({"doc": doc_, "pos": pos_, "cls": hash_, "members": np.full(len(doc_), _CROWD)}).to_batches()
+                continue
+            doc.append(doc_)
+            h.append(hash_)
+            pos.append(pos_)
     if not doc:
         return
     doc, h, pos = np.concatenate(doc), np.concatenate(h), np.concatenate(pos)
@@ -158,15 +212,23 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     h = h[order]
     first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
     size = np.diff(np.r_[first, len(h)])
-    few = np.repeat(size > 1, size)  # drop windows seen once before gathering the rest
-    order, h, size = order[few], h[few], size[size > 1]
+    some = size > 1  # drop windows seen once before gathering the rest
+    if marks:
+        some |= np.isin(h[first], np.concatenate(marks))
+    few = np.repeat(some, size)
+    order, h, size = order[few], h[few], size[some]
     if not len(h):
         return
     doc, pos = doc[order], pos[order]
     first = np.r_[0, np.cumsum(size)[:-1]]
     shared = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+    if marks:
+        crowd = np.isin(h[first], np.concatenate(marks))
+        shared, size_ = shared | crowd, np.where(crowd, _CROWD, size)
+    else:
+        size_ = size
     keep = np.repeat(shared, size)
-    yield from pa.table({"doc": doc[keep], "pos": pos[keep], "cls": h[keep], "members": np.repeat(size, size)[keep].astype(np.int64)}).to_batches()
+    yield from pa.table({"doc": doc[keep], "pos": pos[keep], "cls": h[keep], "members": np.repeat(size_, size)[keep].astype(np.int64)}).to_batches()
 
 
 def _contexts(length: int, width: int, buckets: int):
@@ -262,7 +324,7 @@ def _stretches(length: int, width: int):
     return run
 
 
-def shared_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 200, hot: int = 50_000, bucket_bytes: int = 6 << 20, bucket_anchors: int = 16_000) -> DataFrame:
+def shared_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 200, hot: int = 50_000, few: int = 64, bucket_bytes: int = 6 << 20, bucket_anchors: int = 16_000) -> DataFrame:
     """``key, span_start, span_end``: maximal runs of characters that lie in a
     stretch of at least ``length`` code points found verbatim under another key.
 
@@ -275,8 +337,10 @@ def shared_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
     Equal texts form a class (by a 64-bit hash) and are searched once: a class
     of two keys or more is shared whole, and its members get the spans of the
     class by a join at the end.  Anchors travel packed, about ten bytes each,
-    into buckets whose number follows the size of the input; a window of more
-    than ``hot`` anchors is extended by counting its stretches in a plain
+    into buckets whose number follows the size of the input.  Of a window that
+    one task meets in very many documents no more than about ``few`` anchors
+    and as many documents go to its bucket, the others are spread over all; such a window, and any of more
+    than ``hot`` anchors, is extended by counting its stretches in a plain
     aggregation with map-side combine instead of in one task, with the same
     result.
     """
@@ -289,7 +353,7 @@ def shared_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
     buckets = parts_for(docs, bucket_bytes)
     members = materialize(source.select("key", F.xxhash64("t").alias("doc"), F.char_length("t").cast("bigint").alias("z")), "span-members")
     classes = members.groupBy("doc").agg(F.min("key").alias("rep"), F.max("key").alias("last"), F.max("z").alias("z"))
-    packed = source.select(F.xxhash64("t").alias("doc"), "t").mapInArrow(_anchor_blobs(length, buckets), "bucket bigint, doc binary, n binary, h_low binary, h_high binary, p_low binary, p_high binary")
+    packed = source.select(F.xxhash64("t").alias("doc"), "t").mapInArrow(_anchor_blobs(length, buckets, few), "bucket bigint, kind bigint, doc binary, n binary, h_low binary, h_high binary, p_low binary, p_high binary")
     by_bucket = packed.repartitionById(buckets, F.col("bucket").cast("int"))
     anchors = materialize(by_bucket.mapInArrow(_shared_anchors, "doc bigint, pos int, cls bigint, members bigint"), "span-anchors")
     total = anchors.count()

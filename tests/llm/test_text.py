@@ -2,9 +2,11 @@
 
 import base64
 import bisect
+import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -130,18 +132,36 @@ def test_difference_cover(most):
     assert period <= most and {(a - b) % period for a in cover for b in cover} == set(range(period))
 
 
-@pytest.mark.parametrize(("length", "hot"), [(20, 4096), (20, 3), (50, 4096), (10, 2)])
-def test_spans_equal_brute_force(spark, length, hot):
+@pytest.mark.parametrize(("length", "hot", "few"), [(20, 4096, 64), (20, 3, 64), (50, 4096, 2), (10, 2, 64), (20, 4096, 1)])
+def test_spans_equal_brute_force(spark, monkeypatch, length, hot, few):
     rng = random.Random(length + hot)
     pool = ["".join(rng.choice("abcdé漢🙂 ") for _ in range(rng.randrange(5, 120))) for _ in range(25)]
     pairs = [(i, "".join(rng.choice(pool)[rng.randrange(4) :] for _ in range(rng.randrange(0, 5)))) for i in range(120)]
     boiler = "".join(rng.choice("xyz") for _ in range(70))
     pairs += [(1000 + i, "".join(rng.choice("qrs") for _ in range(15)) + boiler + str(i)) for i in range(40)]  # a third share one block
     pairs += [(2000 + i, "copy " * 20) for i in range(10)] + [(3000, "-" * 300), (3001, "-" * 90), (3002, "w" * 200), (None, boiler), (4000, None), (4001, ""), (4002, boiler[:length])]
-    got = {(r["doc_id"], r["span_start"], r["span_end"]) for r in spans.shared_spans(docs(spark, pairs).repartition(4), length=length, hot=hot, bucket_anchors=50).collect()}
+    monkeypatch.setattr(spans._anchor_blobs, "__defaults__", (400,))  # flush often, so that crowds are met
+    got = {(r["doc_id"], r["span_start"], r["span_end"]) for r in spans.shared_spans(docs(spark, pairs).repartition(4), length=length, hot=hot, few=few, bucket_anchors=50).collect()}
     assert got == brute_spans(pairs, length)
 
 
+def test_a_window_in_every_document_is_spread(spark):
+    """No bucket holds many of the anchors of a text that all documents share, and no anchor is lost."""
+    boiler = "".join(random.Random(3).choice("abcdefgh") for _ in range(120))
+    batch = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 100)), pa.array([f"{j:06d}" + boiler for j in range(i, i + 100)])], names=["doc", "t"]) for i in range(0, 2000, 100)]
+    plain, spread = ({k: 0 for k in range(16)} for _ in range(2))
+    kinds = collections.Counter()
+    for few, counts in ((1 << 40, plain), (8, spread)):
+        for b in spans._anchor_blobs(60, 16, few, chars_each=3000)(iter(batch)):
+            for bucket, kind, n in zip(b["bucket"].to_pylist(), b["kind"].to_pylist(), b["n"].to_pylist()):
+                size = int(np.frombuffer(n, np.uint32).sum())
+                kinds[few, kind] += size
+                counts[bucket] += size if kind != spans._MARK else 0
+    assert sum(plain.values()) == sum(spread.values()) and kinds[8, spans._SURE] > 0.8 * sum(spread.values()) and kinds[8, spans._MARK] > 0
+    assert max(plain.values()) > 3 * np.median(list(plain.values())) or min(plain.values()) == 0
+    assert max(spread.values()) < 2 * np.median(list(spread.values()))
+
+
 def test_spans_of_repeated_rows_and_share(spark):
     text = "abcdefghij" * 6
     df = docs(spark, [(1, text), (1, text), (2, "short"), (3, None), (4, "")])
