@@ -16,9 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skeinery.session import parts_for
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -71,10 +74,10 @@ class VoteSketch:
             self.merge(c[start], total, np.maximum(0, 2 * w[last] - total), h[top], item[top])
 
 
-_CELL = "cell bigint, total bigint, surplus bigint, h bigint, item string"
+_CELL = "slice bigint, turn bigint, cell bigint, total bigint, surplus bigint, h bigint, item string"
 
 
-def heavy_items(rows: DataFrame, *, item: str, weight: str | None, share: float, depth: int = 4, width: int = 8192, tasks_per_core: int = 2) -> DataFrame:
+def heavy_items(rows: DataFrame, *, item: str, weight: str | None, share: float, depth: int = 4, width: int = 8192, tasks_per_core: int = 2, bytes_each: int = 256 << 20, fan_in: int = 64) -> DataFrame:
     """``item, weight_lower, weight_upper, total_weight`` of every item that may
     hold at least ``share`` of the total weight.
 
@@ -85,7 +88,9 @@ def heavy_items(rows: DataFrame, *, item: str, weight: str | None, share: float,
     excess of ``weight_upper`` is below half of total / width.
 
     Batches are pre-aggregated before they meet the sketch and the sketch is
-    what is shuffled, so a hot item costs no more than any other.
+    what is shuffled, so a hot item costs no more than any other.  A task reads
+    about ``bytes_each`` of the source; sketches are merged ``fan_in`` at a
+    time, so no merge gathers those of all tasks.
     """
     kind = rows.schema[item].dataType.simpleString()
     if kind != "string":
@@ -94,35 +99,42 @@ def heavy_items(rows: DataFrame, *, item: str, weight: str | None, share: float,
     fed = rows.select(F.xxhash64(item).alias("h"), F.col(item).alias("i"), w.alias("w")).where(F.col("i").isNotNull() & (F.col("w") > 0))
     cells, slice_ = depth * width, max(1, width // 8)
 
+    spark = rows.sparkSession
+    tasks = parts_for(rows, bytes_each, max(1, tasks_per_core * spark.sparkContext.defaultParallelism))
+    turns = [-(-tasks // fan_in)]  # groups of sketches at each level of the merge
+    while turns[-1] > 1:
+        turns.append(-(-turns[-1] // fan_in))
+
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = VoteSketch(cells)
         for batch in batches:
             if batch.num_rows:
                 s.add(batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(), depth, width)
         cell = np.flatnonzero(s.total)
+        turn = TaskContext.get().partitionId() % turns[0]
         if len(cell):
-            yield pa.RecordBatch.from_arrays([pa.array(cell // slice_), pa.array(cell), pa.array(s.total[cell]), pa.array(s.surplus[cell]), pa.array(s.hash[cell]), pa.array(s.item[cell], pa.string())], names=["slice", "cell", "total", "surplus", "h", "item"])
+            yield pa.RecordBatch.from_arrays([pa.array(cell // slice_), pa.array(np.full(len(cell), turn)), pa.array(cell), pa.array(s.total[cell]), pa.array(s.surplus[cell]), pa.array(s.hash[cell]), pa.array(s.item[cell], pa.string())], names=["slice", "turn", "cell", "total", "surplus", "h", "item"])
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, base = VoteSketch(slice_), 0
+        s, base, level = VoteSketch(slice_), 0, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cell = batch.column(1).to_numpy()
-            base = int(cell[0]) // slice_ * slice_
-            others = [batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4, 5)]
+            cell = batch.column("cell").to_numpy()
+            base, level = int(cell[0]) // slice_ * slice_, batch.column("turn")[0].as_py()
+            others = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("total", "surplus", "h", "item")]
             order = np.argsort(cell, kind="stable")
             turn = np.arange(len(cell)) - np.searchsorted(cell[order], cell[order])
             for t in range(int(turn.max()) + 1):  # one merge for each task's copy of a cell
                 at = order[turn == t]
                 s.merge(cell[at] - base, others[0][at], others[1][at], others[2][at], others[3][at])
         cell = np.flatnonzero(s.total)
-        yield pa.RecordBatch.from_arrays([pa.array(cell + base), pa.array(s.total[cell]), pa.array(s.surplus[cell]), pa.array(s.hash[cell]), pa.array(s.item[cell], pa.string())], names=["cell", "total", "surplus", "h", "item"])
+        same = np.ones(len(cell), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(same * (base // slice_)), pa.array(same * level), pa.array(cell + base), pa.array(s.total[cell]), pa.array(s.surplus[cell]), pa.array(s.hash[cell]), pa.array(s.item[cell], pa.string())], names=["slice", "turn", "cell", "total", "surplus", "h", "item"])
 
-    spark = rows.sparkSession
-    tasks = max(1, tasks_per_core * spark.sparkContext.defaultParallelism)
-    parts = fed.coalesce(tasks).mapInArrow(sketch, "slice bigint, " + _CELL)
-    united = parts.groupBy("slice").applyInArrow(unite, _CELL)
+    united = fed.coalesce(tasks).mapInArrow(sketch, _CELL)
+    for n in turns:
+        united = united.withColumn("turn", F.pmod("turn", F.lit(n))).groupBy("slice", "turn").applyInArrow(unite, _CELL)
     got = united.toArrow()  # at most depth * width rows
     total, surplus, h = (np.zeros(cells, np.int64) for _ in range(3))
     name = np.full(cells, None, object)

@@ -65,12 +65,15 @@ low AS (SELECT DISTINCT id, lower(replace(regexp_replace(s, '(\p{L}\p{M}*)Σ($|[
 t AS (SELECT id, regexp_extract_all(s, '[\p{L}\p{N}]+') AS t FROM low),
 r AS (SELECT DISTINCT id, unnest(CASE WHEN len(t) >= 3 THEN list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END) AS run FROM t),
 n AS (SELECT id, count(*) AS n FROM r GROUP BY id),
-c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS common FROM r a JOIN r b ON a.run = b.run AND a.id < b.id GROUP BY 1, 2)
-SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE 10 * common >= 7 * (x.n + y.n - common)
+c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS common FROM r a JOIN r b ON a.run = b.run AND a.id < b.id GROUP BY 1, 2),
+pairs AS (SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE 10 * common >= 7 * (x.n + y.n - common))
 """
 
 ORACLE = {
-    "p5_found": _RUNS,
+    "p5_found": _RUNS + "SELECT id_a, id_b FROM pairs",
+    "p5_groups": _RUNS.replace("WITH", "WITH RECURSIVE", 1) + """, e AS (SELECT id_a AS a, id_b AS b FROM pairs UNION ALL SELECT id_b, id_a FROM pairs),
+reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a), root AS (SELECT a AS id, min(b) AS least FROM reach GROUP BY a), deg AS (SELECT a AS id, count(*) AS links FROM e GROUP BY a)
+SELECT id, least(id, coalesce(least, id)) AS group_id, coalesce(links, 0) AS links FROM (SELECT DISTINCT id FROM torrents WHERE id IS NOT NULL) LEFT JOIN root USING (id) LEFT JOIN deg USING (id)""",
     "p1_found": _TERMS + "SELECT term, mark FROM m WHERE mark IS NOT NULL",
     "p1_terms": _TERMS + "SELECT term, occurrences, records, mark FROM m",
 }

@@ -32,6 +32,15 @@ def p2_bounds(spark: SparkSession, directory: str) -> DataFrame:
     return heavy.heavy_items(_weighted(spark, directory), item="infohash", weight="weight", share=SHARE).withColumnRenamed("item", "infohash")
 
 
+def p2_weights(spark: SparkSession, directory: str) -> DataFrame:
+    """The exact weight of every candidate that has the share, by a second pass, and whether its bounds hold."""
+    rows = _weighted(spark, directory)
+    found = heavy.heavy_items(rows, item="infohash", weight="weight", share=SHARE).withColumnRenamed("item", "infohash")
+    exact = rows.join(F.broadcast(found.select("infohash")), "infohash").groupBy("infohash").agg(F.sum("weight").alias("weight"))  # at most depth * width ids
+    both = exact.join(found, "infohash").where(F.col("weight") >= SHARE * F.col("total_weight"))
+    return both.select("infohash", "weight", F.col("weight").between(F.col("weight_lower"), F.col("weight_upper")).alias("within"))
+
+
 def _tested(spark: SparkSession, directory: str) -> DataFrame:
     rows = table(spark, directory, "sightings").where(_is_key()).select("sighting_id", F.unhex("infohash").alias("key"))
     return seen.seen_before(rows, order="sighting_id", key="key")
@@ -46,11 +55,12 @@ def p4_rate(spark: SparkSession, directory: str) -> DataFrame:
     return seen.error_rate(_tested(spark, directory))
 
 
-QUERIES = {"p2_found": p2_found, "p2_bounds": p2_bounds, "p4_found": p4_found, "p4_rate": p4_rate}
+QUERIES = {"p2_found": p2_found, "p2_bounds": p2_bounds, "p2_weights": p2_weights, "p4_found": p4_found, "p4_rate": p4_rate}
 
 _KEYED = "SELECT sighting_id, lower(infohash) AS k, max(greatest(coalesce(repeats, 0), 1)) AS w FROM sightings WHERE regexp_full_match(infohash, '[0-9a-fA-F]{40}') GROUP BY ALL"
 
 ORACLE = {
     "p2_found": f"WITH s AS ({_KEYED}), t AS (SELECT k, sum(w) AS w FROM s GROUP BY k) SELECT k AS infohash FROM t WHERE w * 200 >= (SELECT sum(w) FROM t)",
+    "p2_weights": f"WITH s AS ({_KEYED}), t AS (SELECT k, sum(w)::BIGINT AS w FROM s GROUP BY k) SELECT k AS infohash, w AS weight, true AS within FROM t WHERE w * 200 >= (SELECT sum(w) FROM t)",
     "p4_found": f"WITH s AS (SELECT DISTINCT sighting_id, k FROM ({_KEYED})) SELECT sighting_id FROM (SELECT sighting_id, row_number() OVER (PARTITION BY k ORDER BY sighting_id) AS n FROM s) WHERE n > 1",
 }

@@ -55,6 +55,8 @@ def test_heavy_items(spark):
             weight[x] += w
     total = sum(weight.values())
     got = {r["item"]: r for r in heavy.heavy_items(df, item="item", weight="w", share=0.01, depth=3, width=512).collect()}
+    tree = heavy.heavy_items(df, item="item", weight="w", share=0.01, depth=3, width=512, fan_in=2).collect()
+    assert {r["item"] for r in tree} >= {x for x, w in weight.items() if w >= 0.01 * total} and all(r["weight_lower"] <= weight[r["item"]] <= r["weight_upper"] for r in tree)
     for x, w in weight.items():
         if w >= 0.01 * total:
             assert x in got
