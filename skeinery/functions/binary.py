@@ -295,3 +295,64 @@ def is_public_peer(ip: Column, port: Column) -> Column:
     for low, high in reserved_ranges():
         ok = ok & ~n.between(low, high)
     return F.coalesce(ok, F.lit(False))
+
+
+#: How a peer connection begins: the length of the protocol's name and the name.
+PROTOCOL = b"\x13BitTorrent protocol"
+#: Key under which each query method names what it asks for.
+QUERY_KEYS = {"find_node": "6:target", "get_peers": "9:info_hash", "sample_infohashes": "6:target"}
+_EXTENDED = 20
+PEER_MESSAGE = "kind string, ut_metadata int, metadata_size bigint, msg_type int, piece bigint"
+
+
+def handshake(packet: Column) -> Column:
+    """struct(info_hash, extensions, peer_id) of the 68 bytes that open a connection, null if they are none."""
+    ok = (F.octet_length(packet) >= 68) & (F.substring(packet, 1, 20) == F.lit(PROTOCOL))
+    bit = F.conv(F.hex(F.substring(packet, 26, 1)), 16, 10).cast("int").bitwiseAND(0x10) != 0
+    return F.when(ok, F.struct(F.lower(F.hex(F.substring(packet, 29, 20))).alias("info_hash"), bit.alias("extensions"), F.lower(F.hex(F.substring(packet, 49, 20))).alias("peer_id")))
+
+
+def extended_message(number: int, body: Column) -> Column:
+    """A framed extension message: four bytes of length, its kind, the extension's number and the body."""
+    size = F.unhex(F.lpad(F.hex((F.octet_length(body) + 2).cast("bigint")), 8, "0"))
+    return F.concat(size, F.lit(bytes([_EXTENDED, number])), body)
+
+
+def query(method: str, txid: Column, own: Column, wanted: Column) -> Column:
+    """A DHT query packet; ``txid`` has two bytes, ``own`` and ``wanted`` twenty."""
+    head, middle = b"d1:ad2:id20:", f"{QUERY_KEYS[method]}20:".encode()
+    return F.concat(F.lit(head), own, F.lit(middle), wanted, F.lit(f"e1:q{len(method)}:{method}1:t2:".encode()), txid, F.lit(b"1:y1:qe"))
+
+
+def extension(packet: bytes | None) -> dict:
+    """What an extension message says: an extended handshake (number 0) or a metadata message; kind 'other' for any other frame."""
+    out = dict.fromkeys(("kind", "ut_metadata", "metadata_size", "msg_type", "piece"))
+    if packet is None or len(packet) < 5 or int.from_bytes(packet[:4], "big") > len(packet) - 4:
+        return out
+    out["kind"] = "other"
+    if packet[4] != _EXTENDED or len(packet) < 7:
+        return out
+    try:
+        d, _ = bdecode(packet[6:])
+    except Malformed:
+        return out
+    whole = lambda x: x if isinstance(x, int) else None
+    if not isinstance(d, dict):
+        return out
+    if packet[5] == 0:
+        known = d.get(b"m")
+        number = whole(known.get(b"ut_metadata")) if isinstance(known, dict) else None
+        if number is not None:
+            out |= {"kind": "handshake", "ut_metadata": number & 0xFF, "metadata_size": whole(d.get(b"metadata_size")) or 0}
+    elif whole(d.get(b"msg_type")) is not None and whole(d.get(b"piece")) is not None:
+        out |= {"kind": "metadata", "msg_type": d[b"msg_type"], "piece": d[b"piece"]}
+    return out
+
+
+def _extension_batch(packets: pd.Series) -> pd.DataFrame:
+    rows = pd.DataFrame([extension(p) for p in packets], columns=["kind", "ut_metadata", "metadata_size", "msg_type", "piece"])
+    return rows.astype({"ut_metadata": "Int32", "metadata_size": "Int64", "msg_type": "Int32", "piece": "Int64"})
+
+
+def peer_message(packet: Column) -> Column:
+    return F.pandas_udf(_extension_batch, PEER_MESSAGE)(packet)

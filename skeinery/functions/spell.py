@@ -121,21 +121,31 @@ def distance(a: Column, b: Column) -> Column:
     return F.pandas_udf(_distance_batch, "int")(a, b)
 
 
+def _deletions(c: Column) -> Column:
+    """The word and what is left of it without any one of its letters."""
+    return F.array_distinct(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.char_length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.char_length(c))))))
+
+
 def fuzzy_join(words: DataFrame, vocabulary: DataFrame, *, most: int = 6) -> DataFrame:
     """``word, term, doc, distance, rank``: suggestions for many words at once.
 
-    Two equi-joins on blocking keys (skeleton; first letter and length), each
-    followed by the edit distance; no word meets a term outside its blocks.
+    Two equi-joins: on the skeleton, and on what a word and a term have in
+    common when each may drop one letter (words one edit apart, swaps
+    included, always do).  Both are thinned by the plain edit distance, which
+    counts a swap twice; only what it leaves undecided is measured in Python.
     """
     w = words.select(F.lower("word").alias("word")).where(F.char_length("word") >= 4).distinct()
-    w = w.join(vocabulary.select(F.col("term").alias("word")), "word", "left_anti").withColumn("n", F.char_length("word"))
-    v = vocabulary.select("term", "doc", F.char_length("term").alias("m"))
+    w = w.join(vocabulary.select(F.col("term").alias("word")), "word", "left_anti")
+    v = vocabulary.select("term", "doc")
     sound = w.withColumn("key", T.skeleton(F.col("word"))).join(v.withColumn("key", T.skeleton(F.col("term"))), "key")
-    sound = sound.where((F.char_length("key") >= 2) & (F.abs(F.col("n") - F.col("m")) <= 2)).withColumn("budget", F.lit(2))
-    shapes = w.withColumn("m", F.explode(F.array(F.col("n") - 1, F.col("n"), F.col("n") + 1))).withColumn("first", F.substring("word", 1, 1))
-    letters = shapes.join(v.withColumn("first", F.substring("term", 1, 1)), ["first", "m"]).withColumn("budget", F.lit(1))
+    sound = sound.where((F.char_length("key") >= 2) & (F.abs(F.char_length("word") - F.char_length("term")) <= 2)).withColumn("budget", F.lit(2))
+    shared = [F.substring("word", 1, 1) == F.substring("term", 1, 1), F.abs(F.char_length("word") - F.char_length("term")) <= 1]
+    letters = w.withColumn("key", F.explode(_deletions(F.col("word")))).join(v.withColumn("key", F.explode(_deletions(F.col("term")))), "key").where(shared[0] & shared[1])
+    letters = letters.select("word", "term", "doc").distinct().withColumn("budget", F.lit(1))
     both = sound.select("word", "term", "doc", "budget").unionByName(letters.select("word", "term", "doc", "budget"))
-    scored = both.withColumn("distance", distance(F.col("word"), F.col("term"))).where(F.col("distance") <= F.col("budget"))
-    best = scored.groupBy("word", "term").agg(F.max("doc").alias("doc"), F.min("distance").alias("distance"))
+    best = both.groupBy("word", "term").agg(F.max("doc").alias("doc"), F.max("budget").alias("budget"))
+    plain = best.withColumn("distance", F.levenshtein("word", "term", 4)).where((F.col("distance") >= 0) & (F.col("distance") <= 2 * F.col("budget")))
+    open_ = plain.where("distance > 1").withColumn("distance", distance(F.col("word"), F.col("term"))).where(F.col("distance") <= F.col("budget"))
+    scored = plain.where("distance <= 1").unionByName(open_).drop("budget")
     order = Window.partitionBy("word").orderBy("distance", F.desc("doc"), "term")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)

@@ -158,3 +158,13 @@ def folded(c: Column) -> Column:
 def tokens(c: Column) -> Column:
     """Search tokens: folded runs of letters, numbers and private-use characters."""
     return F.regexp_extract_all(folded(c), F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))
+
+
+def date_short(seconds: Column) -> Column:
+    """Day, month and year of two digits in the session's time zone; a dash for none."""
+    return F.when(F.coalesce(seconds, F.lit(0)) == 0, "–").otherwise(F.date_format(F.timestamp_seconds(seconds), "dd.MM.yy"))
+
+
+def date_full(seconds: Column) -> Column:
+    """Date and time in the session's time zone; empty for none."""
+    return F.when(F.coalesce(seconds, F.lit(0)) == 0, "").otherwise(F.date_format(F.timestamp_seconds(seconds), "dd.MM.yyyy HH:mm:ss"))

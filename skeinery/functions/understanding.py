@@ -5,6 +5,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from skeinery.functions import wordlists as W
 
 _FILLERS = frozenset(W.FILLERS)
@@ -100,3 +104,15 @@ def understand(query: str | None) -> QueryPlan:
     semantic = " ".join(words) or raw.lower()
     keyword = " ".join(w for i, w in enumerate(words) if i != at and w not in examples) or semantic
     return QueryPlan(semantic, keyword, hints[at] if at is not None else None, years, year, False, recognized or at is not None)
+
+
+def _understood_batch(texts: pd.Series) -> pd.DataFrame:
+    plans = [understand(t) for t in texts]
+    years = [p.year_range or (None, None) for p in plans]
+    rows = pd.DataFrame({"semantic": [p.semantic_text for p in plans], "keyword": [p.keyword_text for p in plans], "category": [p.category for p in plans], "first_year": [y[0] for y in years], "last_year": [y[1] for y in years]})
+    return rows.astype({"first_year": "Int32", "last_year": "Int32"})
+
+
+def understood(text: Column) -> Column:
+    """The plan of each query as a struct, for logs of queries."""
+    return F.pandas_udf(_understood_batch, "semantic string, keyword string, category string, first_year int, last_year int")(text)

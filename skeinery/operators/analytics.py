@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BUCKET = 600  # seconds of a metric bucket
@@ -169,8 +169,14 @@ def fetch_snapshot(attempts: DataFrame) -> DataFrame:
 def outcome_summary(attempts: DataFrame, *, outcome: str = "outcome", ms: str = "ms", ok: str = "ok") -> DataFrame:
     """Attempts by class, success share and the upper median latency of successes."""
     good = F.col(outcome) == ok
-    median = F.expr(f"element_at(array_sort(collect_list(case when {outcome} = '{ok}' then {ms} end)), cast(count_if({outcome} = '{ok}') div 2 + 1 as int))")
-    return attempts.agg(F.count("*").alias("n"), F.count_if(good).alias("ok"), F.count_if(F.col(outcome) == "timeout").alias("timeout"), F.count_if(~good & (F.col(outcome) != "timeout")).alias("other"), ratio(F.count_if(good), F.count("*")).alias("success"), median.alias("median_ms"))
+    values = attempts.where(good & F.col(ms).isNotNull()).groupBy(F.col(ms).alias("ms")).agg(F.count("*").alias("n"))
+    sums = attempts.agg(F.count("*").alias("n"), F.count_if(good).alias("ok"), F.count_if(F.col(outcome) == "timeout").alias("timeout"), F.count_if(~good & (F.col(outcome) != "timeout")).alias("other"), ratio(F.count_if(good), F.count("*")).alias("success"))
+    # a row for each distinct latency; whole milliseconds of a fetch that times out are few
+    upto = values.withColumn("upto", F.sum("n").over(Window.partitionBy().orderBy("ms").rowsBetween(Window.unboundedPreceding, 0))).select("ms", "upto")
+    found = F.broadcast(sums.select(F.expr("ok div 2 + 1").alias("place")))
+    median = upto.join(found, F.col("upto") >= F.col("place")).agg(F.min("ms").alias("median_ms"))
+    one = F.lit(1).alias("one")
+    return sums.select("*", one).join(median.select("*", one), "one").drop("one")
 
 
 def contingency(attempts: DataFrame, *, transport: str = "transport", outcome: str = "outcome") -> DataFrame:
@@ -212,7 +218,7 @@ def evaluation(results: DataFrame, expected: DataFrame, *, at: int = 5) -> DataF
 
 
 def nth_slices(rows: DataFrame, *, order: list[Column], slices: int) -> DataFrame:
-    """Every n-th row of an order gets the same slice number."""
+    """Every n-th row of an order gets the same slice number; for short lists such as a page, as one task numbers them."""
     return rows.withColumn("slice", F.pmod(F.row_number().over(Window.partitionBy().orderBy(*order)) - 1, F.lit(slices)))
 
 
@@ -226,3 +232,8 @@ def noise_floor(scores: DataFrame, least: float) -> DataFrame:
     return best.agg(F.greatest(F.percentile("best", 0.5), F.lit(least)).alias("floor"))
 
 
+
+
+def heartbeat_rows(spark: SparkSession, since: int, until: int, every: int = 60) -> DataFrame:
+    """The increments (name, ts, n) a live engine logs: one a tick from ``since`` up to ``until``, exclusive."""
+    return spark.range(since, until, every).select(F.lit("engine_alive").alias("name"), F.col("id").alias("ts"), F.lit(1).cast("bigint").alias("n"))

@@ -31,8 +31,8 @@ def records(spark: SparkSession, directory: str) -> DataFrame:
 def states(spark: SparkSession, directory: str) -> DataFrame:
     """The latest state of each id."""
     s = table(spark, directory, "torrent_state")
-    newest = Window.partitionBy("id").orderBy(F.desc("last_seen"), F.desc("seen_count"))
-    return s.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+    newest = F.max_by(F.struct(*s.columns), F.struct("last_seen", "seen_count"))  # combined before the shuffle
+    return s.groupBy("id").agg(newest.alias("r")).select("r.*")
 
 
 def items(spark: SparkSession, directory: str) -> DataFrame:
@@ -141,18 +141,29 @@ def lookup(spark: SparkSession, directory: str, content_id: str) -> DataFrame:
     return found.select(*SUMMARY, F.coalesce("files", F.array().cast("array<struct<path:string,size:bigint>>")).alias("files"))
 
 
-def sequenced(rows: DataFrame) -> DataFrame:
-    """Change numbers: position by first sighting and id, stable as rows are appended.
+def sequenced(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``rows`` with ``seq``, the number each id got when it was first written.
+
+    ``known`` (id, seq) holds the numbers given so far; they never change.  New
+    ids follow after the largest, in order of first sighting and id, whenever
+    they were first sighted, so a reader's cursor stays good.  Keep ``id, seq``
+    of the result as the next ``known``.
 
     A sort by ranges and counts by range give the numbers; no single task sees
     all rows.  The ranges are written once, as both steps must see the same.
     """
-    spread = materialize(rows.repartitionByRange("first_seen", "id").withColumn("_p", F.spark_partition_id()), "sequence")
+    last, new = 0, rows
+    if known is not None:
+        known = known.select("id", "seq")
+        last = known.agg(F.max("seq")).first()[0] or 0
+        new = rows.join(known, "id", "left_anti")
+    spread = materialize(new.repartitionByRange("first_seen", "id").withColumn("_p", F.spark_partition_id()), "sequence")
     inside = Window.partitionBy("_p").orderBy("first_seen", "id")
     numbered = spread.withColumn("_r", F.row_number().over(inside))
-    ends = numbered.groupBy("_p").agg(F.count("*").alias("_n"))
+    ends = spread.groupBy("_p").agg(F.count("*").alias("_n"))  # a row for each range
     starts = ends.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
-    return numbered.join(starts, "_p").withColumn("seq", F.col("_r") + F.col("_s")).drop("_p", "_r", "_s")
+    fresh = numbered.join(starts, "_p").withColumn("seq", F.col("_r") + F.col("_s") + F.lit(last)).drop("_p", "_r", "_s")
+    return fresh if known is None else rows.join(known, "id").select(*fresh.columns).unionByName(fresh)
 
 
 def changes_since(rows: DataFrame, cursor: int, limit: int) -> DataFrame:

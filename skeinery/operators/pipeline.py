@@ -255,5 +255,10 @@ def token_bucket(times: Iterable[float], rate: float) -> list[bool]:
     return out
 
 
+def newest_nodes(seen: DataFrame, order: str, most: int = 65_536) -> DataFrame:
+    """The batch form of the node queue: the last ``most`` rows of the order."""
+    return seen.orderBy(F.desc(order)).limit(most)
+
+
 def node_queue(nodes: Iterable[str], most: int = 65_536) -> list[str]:
     return list(deque(nodes, maxlen=most))

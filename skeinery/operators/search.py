@@ -118,7 +118,8 @@ class Engine:
         if self.scorer is not None and request.sort not in catalog.SORT_KEYS:
             top = found.where(F.col("pos") < max(request.offset + request.limit, rank.RERANK_TOP))
             top = top.withColumn("doc", F.concat_ws(" — ", N.parsed(F.col("name"))["title"], F.col("category")))
-            scored = rank.reranked(top, text, text="doc", scorer=self.scorer).cache()  # a page of candidates
+            scored = rank.reranked(top, text, text="doc", scorer=self.scorer)
+            scored = scored.sparkSession.createDataFrame(scored.collect(), scored.schema)  # a page of candidates, scored once
             best = scored.agg(F.max("best")).first()[0]
             if best is not None and best < rank.WEAK_SCORE and not request.show_weak and not rank.lexical_evidence(scored, text).first()[0]:
                 return Outcome(scored.limit(0).select(*SUMMARY, "score"), used, weak=True)

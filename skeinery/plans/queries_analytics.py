@@ -52,6 +52,7 @@ _add("metric_window", _window, f"WITH {_WINDOW} SELECT name, events, covered, ev
 _add("metric_retention", lambda s, d: A.retained(_buckets(s, d), now=NOW), f"WITH {_LOG} SELECT name, bucket, value FROM b WHERE bucket >= {NOW - A.RETENTION}")
 _add("funnel_rates", lambda s, d: A.funnel(_window(s, d)), f"WITH {_WINDOW} SELECT ratio, part, whole, CASE WHEN whole > 0 THEN part::DOUBLE / whole END AS value FROM (" + " UNION ALL ".join(
     f"SELECT '{r}' AS ratio, coalesce(sum(events) FILTER (name = '{a}'), 0)::BIGINT AS part, coalesce(sum(events) FILTER (name = '{b}'), 0)::BIGINT AS whole FROM w" for r, a, b in A.FUNNEL) + ")")
+_add("heartbeat_ticks", lambda s, d: A.metric_buckets(A.heartbeat_rows(s, NOW - _DAY, NOW)), f"SELECT 'engine_alive' AS name, t - t % 600 AS bucket, count(*) AS value FROM (SELECT unnest(range({NOW - _DAY}, {NOW}, 60)) AS t) GROUP BY 2")
 _add("heartbeat", lambda s, d: A.heartbeat(_window(s, d)), f"WITH {_WINDOW} SELECT beats, expected, beats * 4 < expected * 3 AS unhealthy FROM (SELECT coalesce(sum(events) FILTER (name = 'engine_alive'), 0)::BIGINT AS beats, (max(covered) // 60)::BIGINT AS expected FROM w)")
 
 _RANGE = "CASE WHEN probe_peers = 0 THEN '0' WHEN probe_peers = 1 THEN '1' WHEN probe_peers = 2 THEN '2' WHEN probe_peers <= 4 THEN '3-4' WHEN probe_peers <= 9 THEN '5-9' WHEN probe_peers <= 15 THEN '10-15' ELSE '16+' END"

@@ -70,3 +70,5 @@ def recategorized(s, d):
 
 
 _add("recategorized", recategorized, f"WITH {O.ITEMS} SELECT id, category FROM items WHERE seen_count % 2 = 0 AND category <> 'other'")
+
+_add("newest_nodes", lambda s, d: P.newest_nodes(_seen(s, d), "sighting_id", 1000).select("sighting_id", "id"), f"WITH {O.SEEN} SELECT sighting_id, id FROM seen ORDER BY sighting_id DESC LIMIT 1000")

@@ -8,6 +8,7 @@ from skeinery.functions import binary as B
 from skeinery.functions import names as N
 from skeinery.functions import spell as S
 from skeinery.functions import text as T
+from skeinery.functions import understanding as U
 from skeinery.functions import vectors as V
 from skeinery.operators import catalog as C
 from skeinery.operators.fulltext import documents
@@ -69,7 +70,20 @@ def fuzzy_suggestions(s, d):
     return S.fuzzy_join(words, v)
 
 
-_add("fuzzy_suggestions", fuzzy_suggestions)
+# edit distance with swaps, row by row: a row of the table is a list, two rows are carried
+_DISTANCE = """list_reduce(list_prepend(list_concat(list_transform(range(0, m + 1), lambda j: 0::BIGINT), range(0, m + 1)), list_transform(range(1, n + 1), lambda i: [i])), lambda acc, x: list_concat(acc[m + 2:],
+ list_reduce(list_prepend([x[1]], list_transform(range(1, m + 1), lambda j: [j])), lambda row, y: list_append(row, least(acc[m + 1 + y[1] + 1] + 1, row[-1] + 1, acc[m + 1 + y[1]] + (a[x[1]] <> b[y[1]])::INT,
+ CASE WHEN x[1] > 1 AND y[1] > 1 AND a[x[1]] = b[y[1] - 1] AND a[x[1] - 1] = b[y[1]] THEN acc[y[1] - 1] + 1 ELSE 99 END)))))[-1]"""
+_SKELETON = "array_to_string(list_filter(list_filter(string_split({0}, ''), lambda x, i: i = 1 OR NOT contains('aeiıoöuüy', x)), lambda x, i: i = 1 OR x <> list_filter(string_split({0}, ''), lambda z, k: k = 1 OR NOT contains('aeiıoöuüy', z))[i - 1]), '')"
+_add("fuzzy_suggestions", fuzzy_suggestions, f"""WITH {O.INDEX}, v0 AS (SELECT term, count(*) AS doc FROM postings GROUP BY term),
+v AS (SELECT term, doc, {_SKELETON.format("term")} AS skeleton FROM v0 WHERE length(term) >= 4 AND regexp_full_match(term, '\\p{{L}}+')),
+w0 AS (SELECT DISTINCT lower(term[1] || term[3:]) AS word FROM v WHERE doc >= 3),
+w AS (SELECT word, {_SKELETON.format("word")} AS skeleton FROM w0 WHERE length(word) >= 4 AND word NOT IN (SELECT term FROM v)),
+c AS (SELECT word, term, max(doc) AS doc, max(budget) AS budget FROM (SELECT word, term, doc, 2 AS budget FROM w JOIN v ON w.skeleton = v.skeleton WHERE length(w.skeleton) >= 2 AND abs(length(word) - length(term)) <= 2
+ UNION ALL SELECT word, term, doc, 1 FROM w JOIN v ON word[1] = term[1] WHERE abs(length(word) - length(term)) <= 1) GROUP BY word, term),
+l AS (SELECT *, string_split(word, '') AS a, string_split(term, '') AS b, length(word) AS n, length(term) AS m FROM c WHERE strlen(word) > length(word) OR strlen(term) > length(term) OR levenshtein(word, term) <= 2 * budget),
+d AS (SELECT word, term, doc, budget, {_DISTANCE} AS distance FROM l)
+SELECT word, term, doc, distance, row_number() OVER (PARTITION BY word ORDER BY distance, doc DESC, term) AS rank FROM d WHERE distance <= budget QUALIFY rank <= 6""")
 
 
 def _vectors(s, d):
@@ -119,4 +133,50 @@ def _infos(s, d):
 _add("decode_info", lambda s, d: _infos(s, d).select("id", B.decoded_info(F.col("info")).alias("i")).select("id", "i.name", "i.total_size", F.size("i.files").alias("n_files"), "i.error"), f"WITH {O.RECORDS} SELECT id, name, total_size, 1 AS n_files, NULL::VARCHAR AS error FROM recs WHERE name <> ''")
 _add("bencode_length", lambda s, d: _infos(s, d).select("id", B.bencode_length(F.col("info")).alias("n")), f"WITH {O.RECORDS} SELECT id, (10 + length(total_size::VARCHAR) + 7 + length(strlen(name)::VARCHAR) + 1 + strlen(name) + 1)::INT AS n FROM recs WHERE name <> ''")
 _add("verify_info", lambda s, d: _infos(s, d).select("id", B.verified(F.col("info"), F.sha1("info")).alias("ok"), F.sha1("info").alias("digest")), f"WITH {O.RECORDS} SELECT id, true AS ok, sha1('d6:lengthi' || total_size || 'e4:name' || strlen(name) || ':' || name || 'e') AS digest FROM recs WHERE name <> ''")
+
+
+def _handshakes(s, d):
+    """First packets of peers; every second one offers extensions."""
+    even = F.col("seen_count") % 2 == 0
+    reserved = F.when(even, F.unhex(F.lit("0000000000100000"))).otherwise(F.unhex(F.lit("0000000000000000")))
+    return C.records(s, d).select("id", F.concat(F.lit(B.PROTOCOL), reserved, F.unhex("id"), F.lit(b"-XX0001-abcdefghijkl")).alias("packet"))
+
+
+_add("peer_handshakes", lambda s, d: _handshakes(s, d).select("id", B.handshake(F.col("packet")).alias("h")).select("id", "h.info_hash", "h.extensions", "h.peer_id"), f"WITH {O.RECORDS} SELECT id, id AS info_hash, seen_count % 2 = 0 AS extensions, '{b'-XX0001-abcdefghijkl'.hex()}' AS peer_id FROM recs")
+
+
+def _extended(s, d):
+    """Extended handshakes that state the size of the metadata, and requests for one piece."""
+    body = F.concat(F.lit("d1:md11:ut_metadatai3ee13:metadata_sizei"), F.col("total_size").cast("string"), F.lit("ee")).cast("binary")
+    ask = F.concat(F.lit("d8:msg_typei0e5:piecei"), F.col("seen_count").cast("string"), F.lit("ee")).cast("binary")
+    r = C.records(s, d).where("seen_count >= 0 AND total_size >= 0")
+    return r.select("id", F.explode(F.array(B.extended_message(0, body), B.extended_message(3, ask))).alias("packet"))
+
+
+_add("peer_messages", lambda s, d: _extended(s, d).select("id", B.peer_message(F.col("packet")).alias("m")).select("id", "m.*"), f"""WITH {O.RECORDS}, k AS (SELECT * FROM recs WHERE seen_count >= 0 AND total_size >= 0)
+SELECT id, 'handshake' AS kind, 3 AS ut_metadata, total_size AS metadata_size, NULL::INT AS msg_type, NULL::BIGINT AS piece FROM k UNION ALL SELECT id, 'metadata', NULL, NULL, 0, seen_count FROM k""")
+_add("dht_queries", lambda s, d: C.records(s, d).select("id", F.explode(F.array(*(B.query(m, F.lit(b"ab"), F.unhex(F.lit("11" * 20)), F.unhex("id")) for m in B.QUERY_KEYS))).alias("packet")).select("id", B.decoded_message(F.col("packet")).alias("m")).select("id", "m.kind", "m.method", "m.info_hash"), f"""WITH {O.RECORDS}
+SELECT id, 'query' AS kind, unnest(['find_node', 'get_peers', 'other']) AS method, unnest([NULL, id, NULL]) AS info_hash FROM recs""")
+_add("shown_dates", lambda s, d: C.records(s, d).select("id", T.date_short(F.col("last_seen")).alias("short"), T.date_full(F.col("last_seen")).alias("full")), f"""WITH {O.RECORDS} SELECT id, CASE WHEN coalesce(last_seen, 0) = 0 THEN '–' ELSE strftime(make_timestamp(last_seen * 1000000), '%d.%m.%y') END AS short,
+ CASE WHEN coalesce(last_seen, 0) = 0 THEN '' ELSE strftime(make_timestamp(last_seen * 1000000), '%d.%m.%Y %H:%M:%S') END AS full FROM recs""")
+#: Queries with what they must be understood as: meaning, keywords, category, first and last year.
+UNDERSTOOD = [
+    ("korku konulu filmleri listeler misin", "horror filmleri", "horror", "video", None, None),
+    ("1980'lerin rock albümleri", "rock albümleri", "rock", "audio", 1980, 1989),
+    ("velvet harbor 1999", "velvet harbor 1999", "velvet harbor 1999", None, None, None),
+    ("books about lanterns", "books lanterns", "lanterns", "book", None, None),
+    ("oyunlar", "oyunlar", "oyunlar", "game", None, None),
+    ("", "", "", None, None, None),
+]
+
+
+def understood(s, d):
+    return s.createDataFrame([(q,) for q, *_ in UNDERSTOOD], "text string").select("text", U.understood(F.col("text")).alias("u")).select("text", "u.semantic", "u.keyword", "u.category", "u.first_year", "u.last_year")
+
+
+def _value(x) -> str:
+    return "NULL" if x is None else str(x) if isinstance(x, int) else O.quoted(x)
+
+
+_add("understood", understood, "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_value, r)) + ")" for r in UNDERSTOOD) + ") AS t(text, semantic, keyword, category, first_year, last_year)")
 _add("decode_text", lambda s, d: _names(s, d).select("id", B.decoded_text(F.col("name").cast("binary")).alias("text")), _NAMES + " SELECT id, name AS text FROM n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 import urllib.parse
 import urllib.request
@@ -37,9 +38,10 @@ def search_item() -> Column:
 
 
 def plugin_line(engine_url: str) -> Column:
-    """``link|name|size|seeds|leech|engine_url|desc|pub_date`` without pipes inside the name."""
-    name = F.replace(F.col("name"), F.lit("|"), F.lit(" "))
-    return F.concat_ws("|", T.magnet(F.col("id"), F.col("name")), name, F.col("total_size").cast("string"), F.coalesce("peer_count", F.lit(-1)).cast("string"), F.lit("-1"), F.lit(engine_url), F.col("last_seen").cast("string"))
+    """``link|name|size|seeds|leech|engine_url|pub_date`` without pipes inside the name; a missing number is -1, a missing name empty."""
+    name = F.replace(F.coalesce("name", F.lit("")), F.lit("|"), F.lit(" "))
+    number = lambda c: F.coalesce(F.col(c), F.lit(-1)).cast("string")
+    return F.concat_ws("|", T.magnet(F.col("id"), F.col("name")), name, number("total_size"), number("peer_count"), F.lit("-1"), F.lit(engine_url), number("last_seen"))
 
 
 def stats_envelope(overview: DataFrame) -> DataFrame:
@@ -56,10 +58,11 @@ def fetch_page(url: str, cursor: int, limit: int, token: str = "") -> dict:
         request = urllib.request.Request(f"{url}?{urllib.parse.urlencode({'since': cursor, 'limit': limit})}", headers={"Authorization": f"Bearer {token}"} if token else {})
         with urllib.request.urlopen(request, timeout=30) as answer:
             return json.load(answer)
-    with open(url.removeprefix("file://"), encoding="utf-8") as f:
-        changes = sorted((r for r in map(json.loads, f) if r["seq"] > cursor), key=lambda r: r["seq"])
-    page = changes[:limit]
-    return {"records": page, "cursor": page[-1]["seq"] if page else cursor, "more": len(changes) > limit}
+    with open(url.removeprefix("file://"), encoding="utf-8") as f:  # one more than the page, so no more than that is held
+        page = heapq.nsmallest(limit + 1, (r for r in map(json.loads, f) if r["seq"] > cursor), key=lambda r: r["seq"])
+    more = len(page) > limit
+    page = page[:limit]
+    return {"records": page, "cursor": page[-1]["seq"] if page else cursor, "more": more}
 
 
 FIELDS = ("id", "name", "total_size", "files", "first_seen", "last_seen", "seen_count")

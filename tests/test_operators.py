@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skeinery import schema
+from skeinery.functions import text as T
 from skeinery.functions import vectors as V
 from skeinery.operators import analytics as A
 from skeinery.operators import catalog as C
@@ -85,6 +86,10 @@ def test_paging_plan_and_sequence(spark):
     got = C.sequenced(rows.repartition(5))
     want = [r["id"] for r in rows.orderBy("first_seen", "id").collect()]
     assert [r["id"] for r in got.orderBy("seq").collect()] == want
+    known = got.select("id", "seq")
+    late = spark.createDataFrame([("z" * 40, -5, True), ("y" * 40, 3, True)], "id string, first_seen bigint, fetched boolean")
+    then = {r["id"]: r["seq"] for r in C.sequenced(rows.unionByName(late), known).collect()}
+    assert then == {r["id"]: r["seq"] for r in known.collect()} | {"z" * 40: 1001, "y" * 40: 1002}  # an older first sighting moves no earlier number
     page = C.changes_since(got, 10, 5)
     assert [r["seq"] for r in page.collect()] == [11, 12, 13, 14, 15]
     plan = C.page(rows, C.sort_order("added"), 3, 2)._jdf.queryExecution().executedPlan().toString()
@@ -159,6 +164,22 @@ def test_text_index_prunes_and_matches_many_queries_at_once(spark, tmp_path):
     assert [tuple(r) for r in Index.build(docs).ranked("light").orderBy("id").collect()] == [tuple(r) for r in index.ranked("light").orderBy("id").collect()]
 
 
+def test_name_list_source(spark, tmp_path):
+    path = tmp_path / "names.txt"
+    path.write_text("  Tidal Clock \n\n   \nVelvet Meridian\n")
+    assert [r["line"] for r in tables.text_lines(spark, str(path)).collect()] == ["Tidal Clock", "Velvet Meridian"]
+
+
+def test_dates_and_median(spark):
+    shown = spark.createDataFrame([(1_757_500_000,), (0,), (None,)], "t bigint").select(T.date_short(F.col("t")), T.date_full(F.col("t"))).collect()
+    assert [tuple(r) for r in shown] == [("10.09.25", "10.09.2025 10:26:40"), ("–", ""), ("–", "")]
+    tries = spark.createDataFrame([("ok", 5), ("ok", 9), ("ok", 7), ("ok", 7), ("timeout", 1), ("odd", None)], "outcome string, ms bigint")
+    r = A.outcome_summary(tries).first()
+    assert (r["n"], r["ok"], r["timeout"], r["other"], r["median_ms"]) == (6, 4, 1, 1, 7)
+    none = A.outcome_summary(tries.where("outcome = 'odd'")).first()
+    assert (none["ok"], none["median_ms"]) == (0, None)
+
+
 def test_feeds(spark, tmp_path):
     rows = [{"id": f"{i:040x}", "name": f"n{i}", "total_size": i, "files": [{"path": "a", "size": 1}] if i % 2 else None, "first_seen": 1, "last_seen": 2, "seen_count": 1, "seq": i} for i in range(1, 8)]
     path = tmp_path / "changes.json"
