@@ -164,6 +164,10 @@ def test_text_index_prunes_and_matches_many_queries_at_once(spark, tmp_path):
     assert [tuple(r) for r in Index.build(docs).ranked("light").orderBy("id").collect()] == [tuple(r) for r in index.ranked("light").orderBy("id").collect()]
 
 
+def test_tokens():
+    assert config.token_matches("secret", "secret") and config.token_matches(None, "") and not config.token_matches(None, "x") and not config.token_matches("secreT", "secret")
+
+
 def test_name_list_source(spark, tmp_path):
     path = tmp_path / "names.txt"
     path.write_text("  Tidal Clock \n\n   \nVelvet Meridian\n")
