@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skeinery.functions import text as T
@@ -22,8 +22,8 @@ def current(embeddings: DataFrame, models: DataFrame | None = None, model_id: st
         rows = embeddings.where(F.col("model_id") == model_id)
     else:
         rows = embeddings.join(F.broadcast(models.where("active").select("model_id")), "model_id", "left_semi")
-    newest = rows.groupBy("id").agg(F.max_by(F.struct(*rows.columns), "seq").alias("v"))  # combined before the shuffle
-    return newest.select("v.*")
+    newest = Window.partitionBy("id").orderBy(F.desc("seq"))
+    return rows.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
 
 
 def usable(rows: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from skeinery.operators import analytics as A
 from skeinery.operators import catalog as C
 from skeinery.operators import vector_search as VS
 from skeinery.plans import oracle as O
+from skeinery.plans import stores
 from skeinery.sources.tables import table
 
 NOW = O.NOW
@@ -22,13 +23,13 @@ def _add(name: str, query, sql: str | None) -> None:
         ORACLE[name] = sql
 
 
-_add("overview", lambda s, d: A.overview(C.items(s, d)), f"""WITH {O.ITEMS} SELECT count(*) FILTER (fetched) AS torrents, coalesce(sum(total_size) FILTER (fetched), 0)::BIGINT AS total_size, coalesce(sum(file_count) FILTER (fetched), 0)::BIGINT AS files,
+_add("overview", lambda s, d: A.overview(stores.items(s, d)), f"""WITH {O.ITEMS} SELECT count(*) FILTER (fetched) AS torrents, coalesce(sum(total_size) FILTER (fetched), 0)::BIGINT AS total_size, coalesce(sum(file_count) FILTER (fetched), 0)::BIGINT AS files,
  coalesce(sum(peer_count) FILTER (fetched AND peer_count > 0), 0)::BIGINT AS peers, count(*) FILTER (fetched AND peer_count > 0) AS alive, count(*) FILTER (fetched AND peer_count = 0) AS dead,
  count(*) FILTER (fetched AND last_check IS NULL) AS unchecked, count(*) AS known FROM items""")
-_add("category_breakdown", lambda s, d: A.category_breakdown(C.items(s, d)), f"""WITH {O.ITEMS}, c AS (SELECT category, count(*) AS n, sum(total_size)::BIGINT AS bytes FROM items WHERE fetched GROUP BY category)
+_add("category_breakdown", lambda s, d: A.category_breakdown(stores.items(s, d)), f"""WITH {O.ITEMS}, c AS (SELECT category, count(*) AS n, sum(total_size)::BIGINT AS bytes FROM items WHERE fetched GROUP BY category)
 SELECT category, n, bytes, round(100.0::DOUBLE * n / sum(n) OVER (), 1) AS share_pct, n::DOUBLE / max(n) OVER () AS bar FROM c""")
 for _name, _width, _points in (("discovery_hourly", 3600, 48), ("discovery_daily", 86_400, 365)):
-    _add(_name, lambda s, d, w=_width, p=_points: A.discovery(C.items(s, d), now=NOW, width=w, points=p), f"""WITH {O.ITEMS}, spine AS (SELECT unnest(range({NOW // _width * _width - (_points - 1) * _width}, {NOW // _width * _width + 1}, {_width})) AS bucket),
+    _add(_name, lambda s, d, w=_width, p=_points: A.discovery(stores.items(s, d), now=NOW, width=w, points=p), f"""WITH {O.ITEMS}, spine AS (SELECT unnest(range({NOW // _width * _width - (_points - 1) * _width}, {NOW // _width * _width + 1}, {_width})) AS bucket),
 c AS (SELECT first_seen // {_width} * {_width} AS bucket, count(*) AS n FROM items WHERE fetched GROUP BY 1) SELECT spine.bucket, coalesce(n, 0) AS n FROM spine LEFT JOIN c USING (bucket)""")
 
 _LOG = "b AS (SELECT name, (ts - ((ts % 600) + 600) % 600) AS bucket, sum(n)::BIGINT AS value FROM metric_log WHERE name IS NOT NULL AND n > 0 GROUP BY 1, 2)"
@@ -103,5 +104,5 @@ _add("fetch_outcomes", lambda s, d: A.outcome_summary(_attempts(s, d)), f"""WITH
  count(*) FILTER (outcome = 'ok')::DOUBLE / count(*) AS success, list_sort(list(ms) FILTER (outcome = 'ok'))[count(*) FILTER (outcome = 'ok') // 2 + 1] AS median_ms FROM att""")
 _add("transport_contingency", lambda s, d: A.contingency(_attempts(s, d)), f"WITH {_ATT} SELECT transport, count(*) FILTER (outcome = 'ok') AS ok, count(*) FILTER (outcome = 'timeout') AS timeout, count(*) FILTER (outcome NOT IN ('ok', 'timeout')) AS other FROM att GROUP BY 1")
 _add("probe_summary", lambda s, d: A.probe_summary(_attempts(s, d), key="transport", ms="rtt"), f"WITH {_ATT} SELECT transport, min(rtt) AS best, max(rtt) - min(rtt) AS jitter, (count(*) FILTER (rtt IS NULL) * 100 // count(*))::BIGINT AS loss_pct FROM att GROUP BY 1")
-_add("nth_slices", lambda s, d: A.nth_slices(C.top_by(C.items(s, d), "seen", 500).select("id", "seen_count"), order=[F.desc("seen_count"), F.asc("id")], slices=4), f"""WITH {O.ITEMS}, t AS (SELECT id, seen_count FROM items WHERE fetched ORDER BY seen_count DESC, id LIMIT 500)
+_add("nth_slices", lambda s, d: A.nth_slices(C.top_by(stores.items(s, d), "seen", 500).select("id", "seen_count"), order=[F.desc("seen_count"), F.asc("id")], slices=4), f"""WITH {O.ITEMS}, t AS (SELECT id, seen_count FROM items WHERE fetched ORDER BY seen_count DESC, id LIMIT 500)
 SELECT id, seen_count, (row_number() OVER (ORDER BY seen_count DESC, id) - 1) % 4 AS slice FROM t""")

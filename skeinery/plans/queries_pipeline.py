@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skeinery.operators import catalog as C
 from skeinery.operators import pipeline as P
 from skeinery.plans import oracle as O
+from skeinery.plans import stores
 from skeinery.sources.tables import table
 
 NOW = O.NOW
@@ -57,7 +58,7 @@ _add("peer_hints", lambda s, d: P.latest_hints(table(s, d, "sightings").dropDupl
 SELECT lower(infohash) AS id, list_slice(arg_max(peers, sighting_id), 1, 16) AS peers FROM u WHERE regexp_full_match(infohash, '[0-9a-fA-F]{40}') AND len(peers) > 0 GROUP BY 1""")
 _add("first_wins_union", lambda s, d: P.first_wins([C.states(s, d).where("probe_peers > 5").orderBy(F.desc("probe_peers"), "id").limit(50), C.states(s, d).orderBy(F.desc("seen_count"), "id").limit(50)], [[F.desc("probe_peers"), F.asc("id")], [F.desc("seen_count"), F.asc("id")]]), f"""WITH {O.STATES}, a AS (SELECT id, 0 AS arm, row_number() OVER (ORDER BY probe_peers DESC, id) AS pos FROM st WHERE probe_peers > 5 QUALIFY pos <= 50), b AS (SELECT id, 1 AS arm, row_number() OVER (ORDER BY seen_count DESC NULLS LAST, id) AS pos FROM st QUALIFY pos <= 50)
 SELECT id, arm, pos FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY arm, pos) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b)) WHERE n = 1""")
-_add("garbled_arm", lambda s, d: P.garbled_arm(C.items(s, d), 20).select("id", "name"), f"WITH {O.ITEMS} SELECT id, name FROM items WHERE fetched AND garbled ORDER BY seen_count DESC, id LIMIT 20")
+_add("garbled_arm", lambda s, d: P.garbled_arm(stores.items(s, d), 20).select("id", "name"), f"WITH {O.ITEMS} SELECT id, name FROM items WHERE fetched AND garbled ORDER BY seen_count DESC, id LIMIT 20")
 _add("alive_sample", lambda s, d: P.alive_sample(C.states(s, d), 50).select("id", "probe_peers"), f"WITH {O.STATES} SELECT id, probe_peers FROM st WHERE probe_peers > 0 ORDER BY probe_peers DESC, id LIMIT 50")
 _add("ready_stock", lambda s, d: P.ready_stock(C.states(s, d), NOW), f"""WITH {O.STATES} SELECT count(*) FILTER (metadata_status = 'pending' AND probe_peers >= 1 AND fetch_attempts = 0) AS never_tried,
  count(*) FILTER (metadata_status = 'pending' AND probe_peers >= 1 AND fetch_attempts > 0 AND {_ELIGIBLE}) AS retryable, count(*) FILTER (metadata_status = 'pending' AND probe_at > 0 AND probe_peers < 0) AS leaked FROM st""")
@@ -65,7 +66,7 @@ _add("ready_stock", lambda s, d: P.ready_stock(C.states(s, d), NOW), f"""WITH {O
 
 def recategorized(s, d):
     """Items whose category was forgotten get it back."""
-    forgotten = C.items(s, d).withColumn("category", F.when(F.col("seen_count") % 2 == 0, "other").otherwise(F.col("category")))
+    forgotten = stores.items(s, d).withColumn("category", F.when(F.col("seen_count") % 2 == 0, "other").otherwise(F.col("category")))
     return P.recategorized(forgotten).select("id", "category")
 
 

@@ -85,7 +85,7 @@ def _topk_float(s, d):
     return table(s, d, "embeddings").select("vec_id", score.alias("score")).orderBy(F.desc("score"), "vec_id").limit(20)
 
 
-_add("embed_backlog_anti", lambda s, d: VS.backlog(C.items(s, d), table(s, d, "torrent_embeddings"), "hazel-small-64").select("id", "name"), f"""WITH {O.ITEMS} SELECT id, name FROM items WHERE fetched AND NOT garbled AND length(name) >= 2
+_add("embed_backlog_anti", lambda s, d: VS.backlog(stores.items(s, d), table(s, d, "torrent_embeddings"), "hazel-small-64").select("id", "name"), f"""WITH {O.ITEMS} SELECT id, name FROM items WHERE fetched AND NOT garbled AND length(name) >= 2
  AND NOT EXISTS (SELECT 1 FROM torrent_embeddings e WHERE e.id = items.id AND e.model_id = 'hazel-small-64')""")
 _add("semi_candidates", lambda s, d: stores.items(s, d).join(F.broadcast(_nearest(s, d, 50).select("id")), "id", "left_semi").select("id", "name", "category"), f"""{_SCORED.replace("WITH ", f"WITH {O.ITEMS}, ", 1)}, t AS (SELECT id FROM sc ORDER BY score DESC, seq LIMIT 50) SELECT id, name, category FROM items WHERE id IN (SELECT id FROM t)""")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skeinery.operators import analytics as A
 from skeinery.operators import catalog as C
 from skeinery.plans import oracle as O
+from skeinery.plans import stores
 from skeinery.plans.queries_analytics import ORACLE as A_SQL
 from skeinery.sources import feeds
 
@@ -20,15 +21,15 @@ def json_records(s, d):
 
 
 def api_projection(s, d):
-    items = C.items(s, d).where("fetched").select(F.from_json(feeds.search_item(), "infohash string, seeds bigint, pub_date bigint").alias("j"))
+    items = stores.items(s, d).where("fetched").select(F.from_json(feeds.search_item(), "infohash string, seeds bigint, pub_date bigint").alias("j"))
     return items.select(F.col("j.infohash").alias("id"), "j.seeds", "j.pub_date")
 
 
 QUERIES = {
     "json_records": json_records,
     "api_projection": api_projection,
-    "plugin_lines": lambda s, d: C.items(s, d).where("fetched AND name <> ''").select("id", feeds.plugin_line("http://localhost").alias("line")),
-    "stats_envelope": lambda s, d: feeds.stats_envelope(A.overview(C.items(s, d))),
+    "plugin_lines": lambda s, d: stores.items(s, d).where("fetched AND name <> ''").select("id", feeds.plugin_line("http://localhost").alias("line")),
+    "stats_envelope": lambda s, d: feeds.stats_envelope(A.overview(stores.items(s, d))),
 }
 _STATS = ["torrents", "total_size", "files", "peers", "alive", "dead", "unchecked", "known"]
 ORACLE = {
