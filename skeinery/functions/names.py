@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
@@ -12,8 +13,6 @@ from pyspark.sql import functions as F
 
 from skeinery.functions import wordlists as W
 
-PARSED = "title string, year int, season int, episode int, resolution int, tags array<string>, release_group string"
-
 _BREAKS = re.compile(r"[._\[\](){},;|~]")
 _SEASON = re.compile(r"s([0-9]+)(?:e([0-9]+))?")
 _CROSS = re.compile(r"([0-9]{1,2})x([0-9]{2})")
@@ -123,18 +122,70 @@ def doc_text_with_files(name: str | None, category: str | None, files: list[str]
     return f"{out} — files:{extra}" if extra else out
 
 
-def _parse_batch(names: pd.Series) -> pd.DataFrame:
-    rows = pd.DataFrame([asdict(parse_name(n)) for n in names], columns=["title", "year", "season", "episode", "resolution", "tags", "release_group"])
-    return rows.astype({c: "Int32" for c in ("year", "season", "episode", "resolution")})
-
-
 def _doc_text_batch(names: pd.Series, categories: pd.Series, paths: pd.Series) -> pd.Series:
     return pd.Series([doc_text_with_files(n, c, None if p is None else list(p)) for n, c, p in zip(names, categories, paths)], dtype=object)
 
 
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is mentioned."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
+def _season_of(w: Column) -> Column:
+    """struct(season, episode) of one token, null if it is none."""
+    shape = r"^(?:s([0-9]+)(?:e([0-9]+))?|([0-9]{1,2})x([0-9]{2}))$"
+
+    def numbers(p: Column) -> Column:
+        season, episode = p["season"].try_cast("bigint"), p["episode"].try_cast("bigint")
+        small = (season <= 65_535) & ((p["episode"] == "") | (episode <= 65_535))
+        return F.when(small, F.struct(season.cast("int").alias("season"), F.when(p["episode"] != "", episode.cast("int")).alias("episode")))
+
+    part = [F.regexp_extract(w, shape, i) for i in (1, 2, 3, 4)]
+    return F.when(w.rlike(shape), _let(F.struct(F.concat(part[0], part[2]).alias("season"), F.concat(part[1], part[3]).alias("episode")), numbers))
+
+
+def _mark(w: Column, i: Column) -> Column:
+    year = F.when((i > 0) & w.rlike("^[0-9]{4}$") & w.try_cast("int").between(1900, 2039), w.try_cast("int"))
+    sizes = F.create_map(*(F.lit(x) for pair in W.RESOLUTIONS.items() for x in pair))
+    return F.struct(i.alias("i"), w.alias("w"), year.alias("year"), F.try_element_at(sizes, w).alias("size"), _season_of(w).alias("s"), w.isin(*W.NAME_TAGS).alias("tag"))
+
+
+def _summary(words: Column, marks: Column, release_group: Column) -> Column:
+    def earliest(k: str) -> Column:
+        return F.get(F.filter(marks, lambda m: m[k].isNotNull()), F.lit(0))
+
+    def bare(w: Column) -> Column:
+        return _stripped(F.regexp_replace(F.array_join(w, " "), "^-+|-+$", ""))
+
+    def put(found: Column) -> Column:
+        ends = F.array_min(F.array(F.size(words), found["y"]["i"], found["z"]["i"], found["s"]["i"], F.get(F.filter(found["tags"], lambda m: m["i"] > 0), F.lit(0))["i"]))
+        title = _let(bare(F.slice(words, 1, ends)), lambda t: F.when(t != "", t).otherwise(bare(words)))
+        return F.struct(
+            title.alias("title"), found["y"]["year"].alias("year"), found["s"]["s"]["season"].alias("season"), found["s"]["s"]["episode"].alias("episode"),
+            found["z"]["size"].alias("resolution"), F.array_distinct(F.transform(found["tags"], lambda m: m["w"])).alias("tags"), release_group.alias("release_group"),
+        )
+
+    return _let(F.struct(earliest("year").alias("y"), earliest("size").alias("z"), earliest("s").alias("s"), F.filter(marks, lambda m: m["tag"]).alias("tags")), put)
+
+
 def parsed(name: Column) -> Column:
-    """The parse of a name as a struct."""
-    return F.pandas_udf(_parse_batch, PARSED)(name)
+    """The parse of a name as a struct: ``parse_name`` in columns."""
+    shape = r"(?s)^(.+)-([^-]*)$"
+
+    def split(p: Column) -> Column:
+        grouped = (F.octet_length(p["tail"]).between(1, 20)) & p["tail"].rlike(r"^[\p{L}\p{N}_]+$") & ~p["tail"].rlike("^[0-9]+$")
+        return F.struct(F.when(grouped, p["head"]).otherwise(p["whole"]).alias("body"), F.when(grouped, p["tail"]).alias("release_group"))
+
+    def read(p: Column) -> Column:
+        words = F.filter(F.split(F.regexp_replace(p["body"], r"[._\[\](){},;|~\p{Cc}]", " "), r"(?U)\s+"), lambda w: w != "")
+        return _let(words, lambda ws: _let(F.transform(F.transform(ws, F.lower), _mark), lambda marks: _summary(ws, marks, p["release_group"])))
+
+    parts = _let(_stripped(F.coalesce(name, F.lit(""))), lambda n: F.struct(n.alias("whole"), F.regexp_extract(n, shape, 1).alias("head"), _stripped(F.regexp_extract(n, shape, 2)).alias("tail")))
+    return _let(_let(parts, split), read)
 
 
 def document(name: Column, category: Column, paths: Column) -> Column:

@@ -15,6 +15,7 @@ from skeinery.operators import vector_search as VS
 from skeinery.operators.fulltext import Index, compile_query, documents
 from skeinery.plans import oracle as O
 from skeinery.plans import stores
+from skeinery.plans.queries_text import _PARSED as PARSED
 from skeinery.sources.tables import table
 
 QUERIES: dict = {}
@@ -146,7 +147,20 @@ SELECT {O.SUMMARY}, round(b.score, 9) AS score FROM b ORDER BY b.score DESC, fir
 
 
 _add("search_hybrid", lambda s, d: _searched(_engine(s, d), S.Request(text=HYBRID, limit=40, mode="hybrid")), _hybrid_sql(HYBRID, 40))
-_add("search_reranked", lambda s, d: _engine(s, d, R.lexical_score).search(S.Request(text=HYBRID, limit=20, mode="hybrid")).rows)
+
+
+def _reranked_sql(text: str, limit: int) -> str:
+    """The best of the hybrid candidates by the share of query words in title and category."""
+    words = text.lower().split()
+    inner = _hybrid_sql(text, R.RERANK_TOP).removeprefix("WITH ").rsplit("\nSELECT ", 1)[0]
+    parsed = PARSED.replace("WITH ", "", 1).replace(O.RECORDS + ", ", "", 1).replace("n AS (SELECT id, name FROM recs", "n AS (SELECT id, name FROM top", 1)
+    share = " + ".join(f"contains(low, {O.quoted(w)})::INT" for w in words)
+    return f"""WITH {inner}, top AS (SELECT b.*, row_number() OVER (ORDER BY score DESC, first) AS pos FROM b QUALIFY pos <= {R.RERANK_TOP}), {parsed},
+sc AS (SELECT t.*, 12.0::DOUBLE * ({share}) / {len(words)} - 6.0 AS rerank FROM (SELECT top.*, lower(concat_ws(' — ', p.title, category)) AS low FROM top LEFT JOIN parsed p ON top.id = p.id) t)
+SELECT {O.SUMMARY}, round(score, 9) AS score FROM sc ORDER BY rerank DESC, pos LIMIT {limit}"""
+
+
+_add("search_reranked", lambda s, d: _searched(_engine(s, d, R.lexical_score), S.Request(text=HYBRID, limit=20, mode="hybrid")), _reranked_sql(HYBRID, 20))
 _add("search_corrected", lambda s, d: _searched(_engine(s, d), S.Request(text=MISSPELT, limit=20), 6), f"""WITH {O.INDEX}, {O.bm25([MEANT])}
 SELECT {O.SUMMARY}, round(bm.score, 6) AS score FROM bm JOIN items USING (id) WHERE fetched ORDER BY bm.score, seen_count DESC, id LIMIT 20""")
 _add("search_browse", lambda s, d: _engine(s, d).search(S.Request(text="movies", limit=50)).rows, f"WITH {O.ITEMS} SELECT {O.SUMMARY} FROM items WHERE fetched AND category = 'video' ORDER BY seen_count DESC, id LIMIT 50")

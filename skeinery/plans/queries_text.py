@@ -10,6 +10,7 @@ from skeinery.functions import spell as S
 from skeinery.functions import text as T
 from skeinery.functions import understanding as U
 from skeinery.functions import vectors as V
+from skeinery.functions import wordlists as W
 from skeinery.operators import catalog as C
 from skeinery.operators.fulltext import documents
 from skeinery.plans import oracle as O
@@ -45,8 +46,35 @@ _add("garbled_names", lambda s, d: _names(s, d).where(T.garbled(F.col("name"))).
 _add("human_size", lambda s, d: C.files(s, d).select("id", "ord", T.human_size(F.col("size")).alias("shown")), f"""WITH {O.RECORDS}, {O.FILES}, u AS (SELECT id, ord, size, CASE WHEN size < 1024 THEN 0 WHEN size < 1048576 THEN 1 WHEN size < 1073741824 THEN 2 WHEN size < 1099511627776 THEN 3 ELSE 4 END AS step FROM child)
 SELECT id, ord, CASE WHEN step > 0 AND size / pow(1024, step) < 10 THEN printf('%.1f', floor(size / pow(1024, step) * 10 + 0.5) / 10) ELSE floor(size / pow(1024, step) + 0.5)::BIGINT::VARCHAR END || ' ' || ['B', 'KB', 'MB', 'GB', 'TB'][step + 1] AS shown FROM u""")
 _add("query_truncation", lambda s, d: table(s, d, "documents").where("text is not null").select("doc_id", T.truncated_query(F.col("text")).alias("query")), "SELECT doc_id, substring(text, 1, 256) AS query FROM documents WHERE text IS NOT NULL")
-_add("parse_name", lambda s, d: _names(s, d).select("id", N.parsed(F.col("name")).alias("p")).select("id", "p.*"))
-_add("doc_text_files", lambda s, d: C.records(s, d).where("name <> ''").select("id", N.document(F.col("name"), T.category(F.col("name"), F.col("files")), F.col("files.path")).alias("text")))
+def _norm(c: str) -> str:
+    return f"trim(regexp_replace(regexp_replace({c}, '[._\\[\\](){{}}\\p{{Cc}}]', ' ', 'g'), ' +', ' ', 'g'), ' ')"
+
+
+_TAG_LIST = "[" + ", ".join(map(O.quoted, W.NAME_TAGS)) + "]"
+_SIZE = "CASE w " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in W.RESOLUTIONS.items()) + " END"
+_SEASON, _CROSSED = "'^s([0-9]+)(?:e([0-9]+))?$'", "'^([0-9]{1,2})x([0-9]{2})$'"
+_BLANK = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_PARSED = f"""{_NAMES}, b0 AS (SELECT id, regexp_replace(name, '^{_BLANK}+|{_BLANK}+$', '', 'g') AS name FROM n),
+b1 AS (SELECT id, name, regexp_extract(name, '(?s)^(.+)-([^-]*)$', 1) AS head, regexp_replace(regexp_extract(name, '(?s)^(.+)-([^-]*)$', 2), '^{_BLANK}+|{_BLANK}+$', '', 'g') AS tail FROM b0),
+b2 AS (SELECT *, strlen(tail) BETWEEN 1 AND 20 AND regexp_full_match(tail, '[\\p{{L}}\\p{{N}}_]+') AND NOT regexp_full_match(tail, '[0-9]+') AS grouped FROM b1),
+b3 AS (SELECT id, CASE WHEN grouped THEN tail END AS release_group, list_filter(regexp_split_to_array(regexp_replace(CASE WHEN grouped THEN head ELSE name END, '[._\\[\\](){{}},;|~\\p{{Cc}}]', ' ', 'g'), '{_BLANK}+'), lambda w: w <> '') AS words FROM b2),
+t0 AS (SELECT id, unnest(range(0, len(words))) AS i, lower(unnest(words)) AS w FROM b3),
+t1 AS (SELECT *, CASE WHEN i > 0 AND regexp_full_match(w, '[0-9]{{4}}') AND try_cast(w AS INT) BETWEEN 1900 AND 2039 THEN w::INT END AS y, {_SIZE} AS z, list_contains({_TAG_LIST}, w) AS tag,
+ try_cast(concat(regexp_extract(w, {_SEASON}, 1), regexp_extract(w, {_CROSSED}, 1)) AS BIGINT) AS s0, nullif(concat(regexp_extract(w, {_SEASON}, 2), regexp_extract(w, {_CROSSED}, 2)), '') AS e0 FROM t0),
+t2 AS (SELECT *, s0 <= 65535 AND (e0 IS NULL OR coalesce(try_cast(e0 AS BIGINT), 99999) <= 65535) AS se FROM t1),
+t3 AS (SELECT id, arg_min(y, i) FILTER (y IS NOT NULL) AS year, arg_min(z, i) FILTER (z IS NOT NULL) AS resolution, arg_min(s0, i) FILTER (se) AS season, arg_min(coalesce(e0::INT, -1), i) FILTER (se) AS episode,
+ list_distinct(list(w) FILTER (tag)) AS found, list(w ORDER BY i) FILTER (tag) AS tags, least(min(i) FILTER (y IS NOT NULL), min(i) FILTER (z IS NOT NULL), min(i) FILTER (se), min(i) FILTER (tag AND i > 0)) AS stop FROM t2 GROUP BY id),
+t4 AS (SELECT b3.id, words, release_group, year, resolution, season, nullif(episode, -1) AS episode, coalesce(tags, []) AS tags, coalesce(stop, len(words)) AS stop FROM b3 LEFT JOIN t3 ON b3.id = t3.id),
+t5 AS (SELECT *, regexp_replace(regexp_replace(array_to_string(words[1:stop], ' '), '^-+|-+$', '', 'g'), '^{_BLANK}+|{_BLANK}+$', '', 'g') AS head, regexp_replace(regexp_replace(array_to_string(words, ' '), '^-+|-+$', '', 'g'), '^{_BLANK}+|{_BLANK}+$', '', 'g') AS whole FROM t4),
+parsed AS (SELECT id, CASE WHEN head <> '' THEN head ELSE whole END AS title, year, season::INT AS season, episode, resolution, list_filter(tags, lambda t, k: list_position(tags, t) = k) AS tags, release_group FROM t5)"""
+_add("parse_name", lambda s, d: _names(s, d).select("id", N.parsed(F.col("name")).alias("p")).select("id", "p.*"), f"{_PARSED} SELECT * FROM parsed")
+_add("doc_text_files", lambda s, d: C.records(s, d).where("name <> ''").select("id", N.document(F.col("name"), T.category(F.col("name"), F.col("files")), F.col("files.path")).alias("text")), f"""{_PARSED.replace("WITH ", f"WITH {O.ITEMS}, ", 1).replace(O.RECORDS + ", n AS", "n AS", 1)},
+o0 AS (SELECT p.id, i.name, files, CASE WHEN trim(title) = '' THEN {_norm("i.name")} ELSE {_norm("title")} || coalesce(' ' || year, '') || coalesce(' season ' || season, '') || CASE category {" ".join(f"WHEN '{k}' THEN ' — {v}'" for k, v in W.CATEGORY_TEXT.items())} ELSE '' END END AS base FROM parsed p JOIN items i ON p.id = i.id),
+f0 AS (SELECT id, base, k, {_norm("regexp_extract(files[k].path, '[^/" + chr(92) * 4 + "]*$')")} AS name FROM (SELECT id, base, files, unnest(range(1, len(files) + 1)) AS k FROM o0 WHERE files IS NOT NULL)),
+f1 AS (SELECT *, row_number() OVER (PARTITION BY id, lower(regexp_replace(name, '[0-9]', '', 'g')) ORDER BY k) AS nth FROM f0 WHERE name <> '' AND NOT contains(base, name)),
+f2 AS (SELECT *, sum(strlen(name) + 1) OVER (PARTITION BY id ORDER BY k) AS bytes FROM f1 WHERE nth = 1),
+f3 AS (SELECT id, string_agg(name, ' ' ORDER BY k) AS extra FROM f2 WHERE bytes <= 400 GROUP BY id)
+SELECT o0.id, base || coalesce(' — files: ' || extra, '') AS text FROM o0 LEFT JOIN f3 ON o0.id = f3.id""")
 
 
 _index = stores.text_index

@@ -2,6 +2,7 @@
 
 import hashlib
 import sqlite3
+from dataclasses import asdict
 
 import numpy as np
 import pytest
@@ -35,6 +36,13 @@ def test_release_names():
     assert N.parse_name("").title == N.parse_name("-").title == N.parse_name(None).title == ""
 
 
+def test_names_in_columns_equal_the_plain_parser(spark):
+    names = ["Velvet.Meridian.1997.720p.WEB-DL.x265-QRS", "Copper.Lantern.S02E07.1080p.HDTV.x264-ABCD", "Marble 3x11 [720p]", "1984.Quiet.Valley.2009.720p", "", "-", " -x", "x-", "a--b", "web.Only", "Tidal s99999e1 2001-2002", "s1 e2", "\u3000Tidal\u00a0Clock-\u00c9t\u00e9 ", "one-two three-four_5", "Год 2011 рус 4K-ÄÖ", "x264 x264 2010 2011 web web", "A\tB\x07C\nD-E", "s123456789012345678901", "- - 1999", None]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string")
+    for r in df.select("i", N.parsed(F.col("n")).alias("p")).collect():
+        assert r["p"].asDict() == asdict(N.parse_name(names[r["i"]])), names[r["i"]]
+
+
 def test_document_texts():
     files = [f"Tidal Clock.S02/Tidal.Clock.S02E1{i}.mkv" for i in (0, 1, 2)] + ["Tidal Clock.S02/Extras/Interview.mp4"]
     d = N.doc_text_with_files("Tidal Clock.S02.Pack", "video", files)
